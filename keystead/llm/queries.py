@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, mixing, quality
+from . import chat, htmltext, langid, licenses, mixing, packing, quality, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,36 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {"op3_langid": op3_langid, "op5_mixing": op5_mixing, "op8_quality": op8_quality}
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each of its participants."""
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.withColumn("spans", spans)
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for each row whose vec_id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    return topk.search(rows.select("vec_id", topk.quantised(F.col("embedding")).alias("v")), F.col("vec_id") % 50 == 0)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every whole document."""
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = htmltext.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known licences that documents, or lines of them, are."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat, op3_langid, op5_mixing, op6_topk, op7_packing, op8_quality, op9_html, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
