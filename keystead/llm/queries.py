@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmltext, langid, licenses, mixing, packing, quality, topk
+from . import chat, htmltext, langid, licenses, mixing, neardup, packing, quality, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of every document, by shingles of four words."""
+    return neardup.classes(table(spark, sf_dir, "documents"), words=4)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -59,6 +64,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat, op3_langid, op5_mixing, op6_topk, op7_packing, op8_quality, op9_html, op10_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat, op3_langid, op4_neardup, op5_mixing, op6_topk, op7_packing, op8_quality, op9_html, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
