@@ -8,12 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmltext, langid, licenses, mixing, neardup, packing, quality, topk
+from . import chat, htmltext, langid, licenses, mixing, neardup, packing, quality, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every whole document; documents that are toxic aren't kept."""
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.withColumn("kept", ~F.col("toxic"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -64,6 +71,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat, op3_langid, op4_neardup, op5_mixing, op6_topk, op7_packing, op8_quality, op9_html, op10_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_langid, op4_neardup, op5_mixing, op6_topk, op7_packing, op8_quality, op9_html, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
