@@ -18,7 +18,7 @@ from .common import materialise, word_count
 #: Weights of the sources in order, repeating; the share of all sizes that the mix has; the most epochs of a source.
 WEIGHTS, SHARE, MOST_EPOCHS = (5, 2, 1), 1.5, 2
 #: Rows that a sub-range of keys holds on average.
-ROWS_PER_RANGE = 2048
+ROWS_PER_RANGE = 256
 #: Keys are the first 52 bits of an md5, so that sub-ranges divide them without rounding.
 KEY_BITS = 52
 

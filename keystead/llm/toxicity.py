@@ -21,7 +21,7 @@ from .common import FOLDED, span_hashes, text_parts
 MOST_TRAINING = 20_000
 #: Words of so many training documents at least, and of these the most telling ones, are features.
 LEAST_DOCUMENTS, MOST_FEATURES = 5, 4096
-PENALTY, STEPS = 2e-4, 400
+PENALTY, STEPS = 3e-4, 400
 #: Grades above 0 that are derived from labels which only say toxic or not.
 LEVELS = 3
 _PART = 2 << 20
@@ -48,11 +48,13 @@ def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Hashes of the features in order, their weights, and the thresholds between the grades."""
+    """Hashes of the features in order, their weights, the thresholds between the grades, and the
+    probability of a grade above 0 from which on a text is called toxic."""
 
     features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    cutoff: float = 0.5
 
     def scores(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """w.x of each row."""
@@ -131,7 +133,22 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         look_w, look_t = new_w + (momentum - 1) / after * (new_w - w), np.maximum.accumulate(new_t + (momentum - 1) / after * (new_t - theta) + 1e-9 * np.arange(k))
         w, theta, momentum = new_w, new_t, after
     used = w != 0
-    return Model(words[chosen][used], w[used], theta)
+    model = Model(words[chosen][used], w[used], theta)
+    model.cutoff = _cutoff(1 - model.probabilities(times(w))[:, 0], grades > 0)
+    return model
+
+
+def _cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The cutoff with the fewest errors on the training documents, in the middle if several have as few.
+    The penalty pulls probabilities towards the common grade, so it is below a half; it isn't above."""
+    order = np.argsort(p)
+    q, bad = p[order], toxic[order]
+    missed = np.append(0, np.cumsum(bad))  # toxic ones below the cutoff ahead of each place
+    false = np.append(np.cumsum(~bad[::-1])[::-1], 0)
+    edges = np.concatenate([[0.0], (q[1:] + q[:-1]) / 2, [1.0]])
+    wrong = missed + false
+    best = np.flatnonzero(wrong == wrong.min())
+    return float(min(0.5, max(0.05, edges[best].mean())))
 
 
 def _hashes(batches):
@@ -174,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, levels:
 
 def grade(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The columns named, then grade (the likeliest), severity (expected grade), p_toxic (probability of a
-    grade above 0) and toxic (p_toxic of a half or more) of every row.
+    grade above 0) and toxic (p_toxic at least the model's cutoff) of every row.
 
     Null and empty texts have no words and are scored by the thresholds alone. Null and repeated ids
     are scored as others are."""
@@ -188,7 +205,7 @@ def grade(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
             for at, n, raw, offs in text_parts(batch.column(c), _PART):
                 p = m.probabilities(m.scores(raw, offs))
                 high = 1 - p[:, 0]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, n) for i in range(c)], pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(p @ np.arange(p.shape[1])), pa.array(high), pa.array(high >= 0.5)], [*[f"c{i}" for i in range(c)], "grade", "severity", "p_toxic", "toxic"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, n) for i in range(c)], pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(p @ np.arange(p.shape[1])), pa.array(high), pa.array(high >= m.cutoff)], [*[f"c{i}" for i in range(c)], "grade", "severity", "p_toxic", "toxic"])
 
     fields = [f"c{i} {frame.schema[i].dataType.simpleString()}" for i in range(c)]
     out = frame.mapInArrow(run, ", ".join([*fields, "grade int, severity double, p_toxic double, toxic boolean"]))
