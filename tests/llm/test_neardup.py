@@ -1,0 +1,119 @@
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from keystead.llm import common, neardup
+
+from .helpers import frame, prose
+
+
+def shingles(text, k):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def brute(rows, k):
+    sets = {i: shingles(t, k) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if either and sets[i] and sets[j] and 100 * both >= 80 * either:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_against_brute_force(spark, words):
+    rng = random.Random(words)
+    rows, base = [], []
+    for i in range(40):
+        base.append(prose(rng, rng.choice([1, 2, 3, 4, 5, 6, 20, 60, 200])))
+    for i in range(160):
+        text = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            text[rng.randrange(len(text))] = prose(rng, 1)
+        rows.append((1000 - i, rng.choice([" ", "\n", "\t "]).join(text).upper() if i % 5 == 0 else " ".join(text)))
+    rows += [(1, None), (2, ""), (3, " \n\t"), (4, "é è"), (5, "É è"), (6, "x"), (7, "X"), (8, "a b c")]
+    got = {r["doc_id"]: r for r in neardup.classes(frame(spark, [(i, t, "en", "s") for i, t in rows]), words).collect()}
+    for i, (n, component) in brute(rows, words).items():
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, component, i == component), i
+
+
+def test_chain_and_large_group_of_near_copies(spark):
+    rng = random.Random(9)
+    core = prose(rng, 300).split()
+    rows = []
+    for i in range(400):  # each differs from the core in one word of its own; and a chain leads away from it
+        own = list(core)
+        own[i % 300] = f"w{i}"
+        rows.append((i, " ".join(own)))
+    chain = list(core)
+    for i in range(12):
+        for j in range(5):
+            chain[i * 20 + j] = f"c{i}{j}"
+        rows.append((500 + i, " ".join(chain)))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(frame(spark, [(i, t, None, None) for i, t in rows]), 4).collect()}
+    want = brute(rows, 4)
+    assert got == {i: c for i, (_, c) in want.items()}
+
+
+def test_empty_null_ids_and_repeats(spark):
+    assert neardup.classes(frame(spark, [])).count() == 0
+    text = "one two three four five six seven"
+    rows = [(None, text, None, None), (5, text, None, None), (5, text, None, None), (3, text, None, None), (9, "other", None, None)]
+    got = sorted(((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in neardup.classes(frame(spark, rows)).collect()))
+    assert got == [(-1, None, True), (3, 3, True), (5, 3, False), (5, 3, False), (9, 9, True)]
+    kept = neardup.keep_one(frame(spark, [*rows, (3, text, None, None)]))
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 9]
+    assert kept.columns == frame(spark, []).columns
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000, 2000), (3001, 3000)]
+    got = {}
+    for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect():
+        got.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(frozenset, got.values()), key=min) == [frozenset(range(201)), frozenset(range(1000, 1050)), frozenset({3000, 3001})]
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_odd_sketches_estimate_differences():
+    rng = np.random.default_rng(0)
+    for j in (0.8, 0.9, 0.95):
+        n = 400
+        shared = int(round(2 * n * j / (1 + j)))
+        ones = []
+        for _ in range(40):
+            every = rng.integers(0, 1 << 64, 2 * n - shared, np.uint64)
+            m = np.array([neardup.samples(every[:n]), neardup.samples(every[n - shared :])])
+            o = neardup.odd_words(m)
+            ones.append(sum(int(x).bit_count() for x in (o[0] ^ o[1]).view(np.uint64)))
+        # the estimate of the sketches: samples that differ = -bits / 4 x ln(1 - 2 ones / bits)
+        differ = -neardup.BITS / 4 * np.log(1 - 2 * np.mean(ones) / neardup.BITS)
+        assert abs(differ / neardup.SAMPLES - (1 - j)) < 0.03
+        assert max(ones) <= neardup.MOST_ONES
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    text = ("alpha beta " * 500 + "x" * 5000 + " gamma").encode()
+    raw, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    s, e, _ = common.word_spans(raw, offs)
+    whole = common.span_hashes(raw, s, e, common.FOLDED)
+    monkeypatch.setattr(common, "_BLOCK", 64)
+    monkeypatch.setattr(common, "_powers", {})
+    assert (common.span_hashes(raw, s, e, common.FOLDED) == whole).all()
+    assert len(set(whole.tolist())) == 4
