@@ -1,16 +1,17 @@
 """Near-duplicate documents by MinHash bands and odd sketches, confirmed on whole shingle sets.
 
-Each distinct set of word shingles is sketched once: MinHash samples, bands of them, and an odd sketch,
-a bitmap of which each sample flips one bit. The number of ones in the XOR of two odd sketches estimates
-how many samples differ, so candidates of a band are sifted by four 64-bit words before any text moves.
+Each distinct set of word shingles is sketched once: bands of MinHash samples find candidates, and an
+odd sketch sifts them. For that the set's least hashes (a MinHash sample of one permutation, the whole
+set if it is small) each flip one bit of a bitmap; the ones in the XOR of two bitmaps tell how many
+sampled shingles differ, so candidates of a band are sifted by a few 64-bit words before any text moves.
 What passes is confirmed by comparing the sets themselves.
 
 Candidates come in two rounds, so that a group of many copies never becomes all of its pairs. First each
 member of a band's bucket is compared with the bucket's first member; what is linked becomes one
 component. Then only the members of buckets that still hold several components are compared, across
-components. A pair that both rounds leave out lies in one component already or shares no band: at a
-similarity of 0.8 the chance of sharing none of 32 bands of 4 is 5e-8, and the sieve passes all but about
-one in 1e6 of linked pairs. No bucket, group or candidate list is cut.
+components, each pair once. A pair that both rounds leave out lies in one component already or shares no
+band: at a similarity of 0.8 the chance of sharing none of 32 bands of 4 is 5e-8, and the sieve's limits
+lie 5.5 deviations from what a linked pair shows. No bucket, group or candidate list is cut.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from .common import FOLDED, materialise, mix, row_sums, span_hashes, text_parts,
 
 #: Words of a shingle, and the similarity that links: 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 80
-BANDS, ROWS, BITS = 32, 4, 256
+BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-#: Ones in the XOR of two odd sketches above which a pair isn't linked. At a similarity of 0.8, 25.6 of 128 samples
-#: differ (deviation 4.5), which leaves 42 ones (deviation 8, both sources together); 88 is 5.7 deviations above.
-MOST_ONES = 88
+#: Shingles that an odd sketch samples, its bits and 64-bit words, and the deviations that its limits allow.
+LEAST, BITS, DEVIATIONS = 1024, 1024, 5.5
+ODD = [f"o{j}" for j in range(BITS // 64)]
 #: Pairs of one first member that are confirmed by one group.
 CHUNK = 64
 _PART = 2 << 20
@@ -37,7 +38,6 @@ _A = _random.integers(0, 1 << 64, SAMPLES, np.uint64) | np.uint64(1)
 _B = _random.integers(0, 1 << 64, SAMPLES, np.uint64)
 _C = _random.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 _BAND_SALT = _random.integers(0, 1 << 64, BANDS, np.uint64)
-_SAMPLE_SALT = _random.integers(0, 1 << 64, SAMPLES, np.uint64)
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndarray]:
@@ -70,10 +70,13 @@ def samples(own: np.ndarray) -> np.ndarray:
     return least
 
 
-def odd_words(m: np.ndarray) -> np.ndarray:
-    """Odd sketches of rows of samples, as 4 words of 64 bits each."""
-    place = (mix(m + _SAMPLE_SALT) & np.uint64(BITS - 1)).astype(np.int64) + BITS * np.arange(len(m))[:, None]
-    ones = (np.bincount(place.ravel(), minlength=BITS * len(m)) & 1).astype(np.uint8).reshape(len(m), BITS)
+def odd_words(sets: list[np.ndarray]) -> np.ndarray:
+    """Odd sketches of sorted sets, as 64-bit words."""
+    taken = [x[:LEAST] for x in sets]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in taken])
+    every = np.concatenate(taken) if taken else np.zeros(0, np.uint64)
+    place = (mix(every * _C[11]) & np.uint64(BITS - 1)).astype(np.int64) + BITS * row
+    ones = (np.bincount(place, minlength=BITS * len(sets)) & 1).astype(np.uint8).reshape(len(sets), BITS)
     return np.packbits(ones, axis=1).view("<i8")
 
 
@@ -93,23 +96,42 @@ def _sketch(words: int):
                 one = row_sums(every, bounds).view(np.int64)
                 two = row_sums(mix(every.copy() * _C[10]), bounds).view(np.int64)
                 m = np.array([samples(x) for x in sets], np.uint64).reshape(n, SAMPLES)
-                odd = odd_words(m)
+                odd = odd_words(sets)
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(m).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(size), pa.array(one), pa.array(two), keys, *[pa.array(np.ascontiguousarray(odd[:, j])) for j in range(4)]], ["doc_id", "n", "f1", "f2", "bands", "o0", "o1", "o2", "o3"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(size), pa.array(one), pa.array(two), keys, *[pa.array(np.ascontiguousarray(odd[:, j])) for j in range(len(ODD))]], ["doc_id", "n", "f1", "f2", "bands", *ODD])
 
     return run
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (shingles), f1 and f2 (fingerprint of the set), bands, o0 to o3 of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(words), "doc_id long, n long, f1 long, f2 long, bands array<long>, o0 long, o1 long, o2 long, o3 long")
+    """doc_id, n (shingles), f1 and f2 (fingerprint of the set), bands and the odd sketch of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(words), f"doc_id long, n long, f1 long, f2 long, bands array<long>, {', '.join(f'{o} long' for o in ODD)}")
+
+
+def most_ones(n: Column, m: Column, percent: int) -> Column:
+    """The most ones that the XOR of the odd sketches of two linked sets of n and m shingles shows.
+
+    Linked sets share at least j / (1 + j) (n + m) shingles. The sample of the larger set finds a share p
+    of itself in the other one, with the deviation of a draw without replacement; that bounds how many
+    sampled shingles differ, and so the ones, with the deviation of balls in bins."""
+    j = percent / 100
+    root = lambda x: F.sqrt(F.greatest(F.lit(0.0), x))
+    large = F.greatest(n, m)
+    drawn = F.least(large, F.lit(LEAST)).cast("double")
+    p = F.least(F.lit(1.0), F.lit(j / (1 + j)) * (n + m) / large)
+    common = drawn * p - DEVIATIONS * root(drawn * p * (1 - p) * (1 - drawn / large))
+    differ = F.least(n, F.lit(LEAST)) + F.least(m, F.lit(LEAST)) - 2 * common
+    four = F.exp(differ * F.lit(-4 / BITS))
+    deviation = root(F.lit(BITS / 4) * (1 - four) - differ * four)
+    return F.lit(BITS / 2) * (1 - F.exp(differ * F.lit(-2 / BITS))) + DEVIATIONS * deviation + 1
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Sizes and odd sketches allow the similarity."""
     c = lambda t, x: F.col(f"{t}.{x}")
-    ones = sum((F.bit_count(c(a, f"o{j}").bitwiseXOR(c(b, f"o{j}"))) for j in range(4)), F.lit(0))
-    return (100 * F.least(c(a, "n"), c(b, "n")) >= percent * F.greatest(c(a, "n"), c(b, "n"))) & (ones <= MOST_ONES)
+    ones = sum((F.bit_count(c(a, o).bitwiseXOR(c(b, o))) for o in ODD), F.lit(0))
+    n, m = c(a, "n"), c(b, "n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (ones <= most_ones(n, m, percent))
 
 
 def _confirm(words: int, percent: int):
@@ -186,10 +208,10 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     live = held.where("n > 0 and doc_id is not null")
     sets = live.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     first = live.join(sets.select("f1", "f2", "n", F.col("id").alias("doc_id")), ["f1", "f2", "n", "doc_id"]).withColumnRenamed("doc_id", "id")
-    keyed = first.select("id", F.explode("bands").alias("key"))
+    keyed = first.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
     members = materialise(keyed.join(buckets, "key"), "members")
-    brief = first.select("id", "n", "o0", "o1", "o2", "o3")
+    brief = first.select("id", "n", *ODD)
 
     def sift(pairs: DataFrame) -> DataFrame:
         x, y = brief.alias("x"), brief.alias("y")
@@ -203,12 +225,13 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     links = materialise(confirm(one, texts, words, percent), "links")
     roots = components(links)
     # buckets that hold several components still
-    open_ = members.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = members.select("key", "band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = open_.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    rest = open_.join(mixed, "key").join(brief, "id")
-    rest = materialise(rest, "rest")
+    # each member takes its keys of earlier bands along: a pair counts in the first band that it shares
+    rest = open_.join(mixed, "key").join(first.select("id", "n", *ODD, "bands"), "id").withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands", "band")
     x, y = rest.alias("x"), rest.alias("y")
-    two = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent))
+    fresh = ~F.exists(F.arrays_zip(F.col("x.before").alias("l"), F.col("y.before").alias("r")), lambda z: z["l"] == z["r"])
+    two = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent) & fresh)
     two = two.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
     more = materialise(confirm(materialise(two, "pairs"), texts, words, percent), "links")
     if not more.isEmpty():

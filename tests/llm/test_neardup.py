@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keystead.llm import common, neardup
 
@@ -91,21 +92,20 @@ def test_components_of_paths_and_stars(spark):
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_odd_sketches_estimate_differences():
-    rng = np.random.default_rng(0)
-    for j in (0.8, 0.9, 0.95):
-        n = 400
-        shared = int(round(2 * n * j / (1 + j)))
-        ones = []
-        for _ in range(40):
-            every = rng.integers(0, 1 << 64, 2 * n - shared, np.uint64)
-            m = np.array([neardup.samples(every[:n]), neardup.samples(every[n - shared :])])
-            o = neardup.odd_words(m)
-            ones.append(sum(int(x).bit_count() for x in (o[0] ^ o[1]).view(np.uint64)))
-        # the estimate of the sketches: samples that differ = -bits / 4 x ln(1 - 2 ones / bits)
-        differ = -neardup.BITS / 4 * np.log(1 - 2 * np.mean(ones) / neardup.BITS)
-        assert abs(differ / neardup.SAMPLES - (1 - j)) < 0.03
-        assert max(ones) <= neardup.MOST_ONES
+@pytest.mark.parametrize("n", [30, 400, 1500, 20000])
+def test_odd_sketches_tell_near_from_far(spark, n):
+    rng = np.random.default_rng(n)
+
+    def ones(j, ratio=1.0):
+        m = int(n * ratio)
+        shared = int(np.ceil((n + m) * j / (1 + j)))
+        every = rng.integers(0, 1 << 64, n + m - shared, np.uint64)
+        o = neardup.odd_words([np.sort(every[:n]), np.sort(every[n - shared :])])
+        return sum(int(x).bit_count() for x in (o[0] ^ o[1]).view(np.uint64))
+
+    row = spark.range(1).select(neardup.most_ones(F.lit(n), F.lit(n), 80).alias("a"), neardup.most_ones(F.lit(n), F.lit(int(n * 0.9)), 80).alias("b")).first()
+    assert all(ones(0.8) <= row["a"] and ones(0.8, 0.9) <= row["b"] for _ in range(200))
+    assert all(ones(0.5) > row["a"] for _ in range(20))
 
 
 def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
