@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
+
 #: White space that parts words: space and the controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -26,24 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's
-    checkpoint folder, else (as in tests, on one machine) a temporary one of our own."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="keystead-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there, and a
     lost executor costs no more than the reading of a file."""
-    path = f"{shared_dir(df.sparkSession)}/keystead/{uuid.uuid4().hex}/{name}"
+    path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
