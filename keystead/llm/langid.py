@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_sums, text_parts
+from .common import materialise, row_sums, text_parts
 
 #: Size of the hashed feature space, and of the blocks in which counts are added up.
 N_FEATURES, BLOCK = 1 << 16, 1 << 12
@@ -46,12 +46,12 @@ def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     row = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(lead[offs]))
     letter = code != 32
     has = np.bincount(row[letter], minlength=len(offs) - 1) > 0
-    # a blank stays only where it ends a run of letters of its row; each row begins and ends with one
+    # a blank stays only where it ends a run of letters of its row; two are set ahead of each row
     keep = letter.copy()
     keep[1:] |= letter[:-1] & (row[1:] == row[:-1])
     code, row = code[keep], row[keep]
     n = len(code)
-    if n < 2:
+    if n < 1:
         return np.zeros(0, np.int64), np.zeros(len(offs), np.int64), has
     first = np.empty(n, bool)
     first[0], first[1:] = True, row[1:] != row[:-1]
@@ -109,11 +109,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     points and a matrix: log-probability of each feature, with the log prior in the last row."""
     schema = "lang string, block int, counts binary, texts long"
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    sums = rows.mapInArrow(_count, schema).groupBy("lang", "block").applyInArrow(_add, schema).where("texts > 0")
-    if sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+    sums = materialise(rows.mapInArrow(_count, schema).groupBy("lang", "block").applyInArrow(_add, schema).where("texts > 0"), "counts")
+    if sums.select("lang").distinct().count() > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
     counts, texts = {}, {}
-    for x in sums.toLocalIterator():
+    for x in sums.collect():
         counts.setdefault(x["lang"], np.zeros(N_FEATURES))[x["block"] * BLOCK : (x["block"] + 1) * BLOCK] = np.frombuffer(bytes(x["counts"]), "<i8")
         texts[x["lang"]] = x["texts"]
     names = sorted(counts)
