@@ -21,7 +21,7 @@ from .common import FOLDED, span_hashes, text_parts
 MOST_TRAINING = 20_000
 #: Words of so many training documents at least, and of these the most telling ones, are features.
 LEAST_DOCUMENTS, MOST_FEATURES = 5, 4096
-PENALTY, STEPS = 3e-4, 400
+PENALTY, STEPS = 4e-4, 400
 #: Grades above 0 that are derived from labels which only say toxic or not.
 LEVELS = 3
 _PART = 2 << 20
@@ -139,16 +139,18 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
 
 
 def _cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
-    """The cutoff with the fewest errors on the training documents, in the middle if several have as few.
-    The penalty pulls probabilities towards the common grade, so it is below a half; it isn't above."""
+    """The cutoff with the fewest errors on the training documents, in the middle (of log odds) if several
+    have as few. The penalty pulls probabilities towards the common grade, so it is below a half; it
+    isn't above."""
     order = np.argsort(p)
-    q, bad = p[order], toxic[order]
+    odds = np.clip(p[order], 1e-6, 1 - 1e-6)
+    q, bad = np.log(odds / (1 - odds)), toxic[order]
     missed = np.append(0, np.cumsum(bad))  # toxic ones below the cutoff ahead of each place
     false = np.append(np.cumsum(~bad[::-1])[::-1], 0)
-    edges = np.concatenate([[0.0], (q[1:] + q[:-1]) / 2, [1.0]])
+    edges = np.concatenate([q[:1], (q[1:] + q[:-1]) / 2, q[-1:]])
     wrong = missed + false
     best = np.flatnonzero(wrong == wrong.min())
-    return float(min(0.5, max(0.05, edges[best].mean())))
+    return float(min(0.5, 1 / (1 + np.exp(-edges[best].mean()))))
 
 
 def _hashes(batches):
