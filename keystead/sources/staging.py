@@ -22,7 +22,7 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", null: str = "\\N"
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         shown.append(c.alias(f.name))
-    clean.select(*shown).write.csv(path, sep=sep, nullValue=null, emptyValue="", header=header, quote=quote, escape=quote)
+    clean.select(*shown).write.csv(path, sep=sep, nullValue=null, emptyValue=2 * quote, header=header, quote=quote, escape=quote)
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t", null: str = "\\N", header: bool = False, quote: str = '"') -> DataFrame:
