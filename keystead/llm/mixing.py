@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         .withColumn("_level", (F.col("_all") * F.lit(float(share)) - F.col("_filled")) / F.col("_open"))
     )
     # the first source that the level leaves below its bound sets the level of all after it
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "source", "_level"))).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", F.col("source").isNull().alias("none"), "source", "_level"))).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumn("_at", level.getField("_level"))
     return rows.select("source", "source_size", F.when(F.col("_at").isNull(), F.col("_bound")).otherwise(F.least(F.col("_bound"), F.col("_at") * F.col("_weight"))).alias("target"))
 
