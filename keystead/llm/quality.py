@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, let, materialise, words_of
 
 #: At most this share of a stratum's good documents is rejected (over all rules), with probability 1 - DELTA.
-ALPHA, DELTA = 0.04, 0.05
+ALPHA, DELTA = 0.02, 0.05
 #: Documents with fewer words, or with more than this percentage of repeated words, fail the base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The rules: a figure of a document, bad where it is above the cutoff, and the cutoffs from strict to lax.
