@@ -151,7 +151,7 @@ class Table:
         """Write the declared columns once. What is checked and committed is this copy, so a source that
         would give other rows on a second reading can't slip past the checks."""
         layout = next(iter(self.indexes.values()), self.keys)
-        return self._snapshots().stage(scrub_non_finite(project(data, schema or self.schema)), [quoted(c) for c in layout if c in self.field_types])
+        return self._snapshots().stage(scrub_non_finite(project(data, schema or self.schema)), [quoted(c) for c in layout if c in self.field_types], next((k for k in self.keys if k in self.field_types), None))
 
     def _check_keys(self, rows: DataFrame, base: DataFrame | None) -> None:
         """Keys of rows aren't null, don't repeat, and don't occur in base."""
@@ -168,7 +168,8 @@ class Table:
 
     def insert_data(self, newdata, confirm_insert_via_nrow: bool = False, verbose: bool = True) -> None:
         """Append rows. None or no rows return before validation; a key that is null, repeated or there
-        already raises. Only the new rows are written."""
+        already raises. Only the new rows are written, and only segments whose range of the first key
+        meets theirs are read."""
         self._ensure()
         data = self._frame(newdata)
         if data is None or data.isEmpty():
@@ -188,7 +189,8 @@ class Table:
         try:
             if new is not None:
                 rows = shots.read(old, self.schema, (new,))
-                self._check_keys(rows, shots.read(old, self.schema) if old.segments and not replacing else None)
+                near = () if replacing else tuple(s for s in old.segments if s.may_share_keys(new))
+                self._check_keys(rows, shots.read(old, self.schema, near) if near else None)
             kept = () if replacing else old.segments
             shots.commit(old, replace(old, segments=kept + ((new,) if new else ())))
         except Exception:
@@ -233,16 +235,18 @@ class Table:
             self._check_keys(delta, None)
             segments = () if replacing else old.segments
             if segments and set(self.keys) == own:  # nothing to update: only new keys are added
-                base = shots.read(old, self.schema)
+                base = shots.read(old, self.schema, tuple(s for s in segments if s.may_share_keys(made[0])))
                 added = self._stage(dml.matched(delta, base, self.keys, "left_anti"))
                 shots.discard(made.pop())
                 made.append(added)
                 shots.commit(old, replace(old, segments=segments + ((added,) if added else ())))
                 return
-            keep, touched = self._touched(old, segments, lambda df: dml.matched(df, delta, self.keys, "left_semi"))
+            near = tuple(s for s in segments if s.may_share_keys(made[0]))
+            _, touched = self._touched(old, near, lambda df: dml.matched(df, delta, self.keys, "left_semi"))
             if touched:
                 made.append(self._stage(dml.matched(shots.read(old, self.schema, touched), delta, self.keys, "left_anti")))
-            shots.commit(old, replace(old, segments=keep + tuple(s for s in made[::-1] if s)))
+            kept = tuple(s for s in segments if s not in touched)
+            shots.commit(old, replace(old, segments=kept + tuple(s for s in made[::-1] if s)))
         except Exception:
             for s in made:
                 shots.discard(s)

@@ -75,6 +75,27 @@ def test_upsert_rewrites_only_touched_segments(spark, abc):
     assert len(abc._newest().segments) == 1 and rows(abc) == [("x", 1, 1.0), ("y", 2, 20.0)]
 
 
+def test_segments_out_of_range_are_not_read(spark, store, monkeypatch):
+    t = Table(store, "t", {"b": "INTEGER", "c": "DOUBLE"}, ["b"])
+    for low in (0, 100, 200):
+        t.insert_data(frame(spark, [(low + i, 1.0) for i in range(10)], "b long, c double"))
+    names = {s.low: s.name for s in t._newest().segments}
+    assert [(s.low, s.high) for s in t._newest().segments] == [(0, 9), (100, 109), (200, 209)]
+    read, path = [], Snapshots.path
+    monkeypatch.setattr(Snapshots, "path", lambda self, s: read.append(s.name) or path(self, s))
+    t.insert_data(frame(spark, [(300, 1.0)], "b long, c double"))
+    t.upsert_data(frame(spark, [(105, 5.0), (400, 1.0)], "b long, c double"))
+    assert names[0] not in read and names[100] in read
+    assert t.nrow() == 32 and t.tbl().where("b = 105").first()["c"] == 5.0
+    with pytest.raises(ValueError, match="duplicate key"):
+        t.insert_data(frame(spark, [(209, 1.0)], "b long, c double"))
+    d = Table(store, "d", {"d": "DATE", "f": "DATETIME"}, ["d"])
+    d.insert_data(frame(spark, [(dt.date(2024, 1, 2), None)], "d date, f timestamp"))
+    assert d._newest().segments[0].low == "2024-01-02"
+    with pytest.raises(ValueError, match="duplicate key"):
+        d.insert_data(frame(spark, [(dt.date(2024, 1, 2), None)], "d date, f timestamp"))
+
+
 def test_upsert_where_all_columns_are_keys(spark, store):
     t = Table(store, "k", {"a": "TEXT", "b": "INTEGER"}, ["a", "b"])
     t.insert_data(frame(spark, [("x", 1)], "a string, b long"))
