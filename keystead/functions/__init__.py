@@ -1 +1 @@
-"""Part of keystead."""
+"""Validators and column transforms."""

@@ -1 +1 @@
-"""Part of keystead."""
+"""Changes of tables as plans."""

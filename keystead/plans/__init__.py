@@ -1 +1 @@
-"""Part of keystead."""
+"""Whole plans: the weekly pipeline, and the catalogue of queries."""

@@ -230,11 +230,11 @@ def count_where(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- validation -------------------------------------------------------------------
 
 
-@_query("SELECT DISTINCT n_name AS value FROM nation WHERE n_name NOT IN ('FRANCE', 'GERMANY', 'JAPAN')")
+@_query("SELECT DISTINCT event_type AS value FROM events WHERE event_type NOT IN ('click', 'view')")
 def contents_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values outside of a set."""
-    name = F.col("n_name")
-    return _table(spark, sf_dir, "nation").where(~validators.is_one_of(name, ("FRANCE", "GERMANY", "JAPAN"))).select(name.alias("value")).distinct()
+    kind = F.col("event_type")
+    return _table(spark, sf_dir, "events").where(~validators.is_one_of(kind, ("click", "view"))).select(kind.alias("value")).distinct()
 
 
 @_query("SELECT event_type, CAST(event_type LIKE '%date%' OR event_type LIKE '%isoyear%' OR event_type LIKE 'event%' OR event_type LIKE '%total%' AS BOOLEAN) AS fits, count(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT 'event_' || event_type FROM events UNION ALL SELECT 'up' || 'date' FROM events) GROUP BY ALL")
@@ -325,9 +325,11 @@ def left_join_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_name", "r_name")
 
 
-@_query(r"SELECT c_custkey, c_name FROM customer WHERE c_name NOT LIKE 'Customer\_%1' ESCAPE '\'")
+@_query(r"SELECT event_id, name FROM (SELECT event_id, event_type || CASE WHEN value > 50 THEN '_' ELSE '-' END || CAST(user_id AS VARCHAR) AS name FROM events) WHERE name NOT LIKE 'click\_%' ESCAPE '\'")
 def like_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "customer").where(r"c_name NOT LIKE 'Customer\\_%1' ESCAPE '\\'").select("c_custkey", "c_name")
+    """The underscore stands for itself."""
+    name = F.concat("event_type", F.when(F.col("value") > 50, "_").otherwise("-"), F.col("user_id").cast("string"))
+    return _table(spark, sf_dir, "events").select("event_id", name.alias("name")).where(r"name NOT LIKE 'click\\_%' ESCAPE '\\'")
 
 
 @_query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")

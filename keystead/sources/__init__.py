@@ -1 +1 @@
-"""Part of keystead."""
+"""Stores, snapshots, files and delimited text."""

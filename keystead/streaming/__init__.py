@@ -1 +1 @@
-"""Part of keystead."""
+"""Structured Streaming into tables."""
