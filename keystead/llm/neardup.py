@@ -206,12 +206,13 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     with one doc_id and different texts count as one document. Other columns are ignored."""
     held = materialise(sketches(docs, words), "sketches")
     live = held.where("n > 0 and doc_id is not null")
-    sets = live.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    first = live.join(sets.select("f1", "f2", "n", F.col("id").alias("doc_id")), ["f1", "f2", "n", "doc_id"]).withColumnRenamed("doc_id", "id")
-    keyed = first.select("id", F.posexplode("bands").alias("band", "key"))
+    # one row for each set, with the sketch that all its copies share; copies are merged before rows move
+    sketch = [F.first(c).alias(c) for c in ("bands", *ODD)]
+    sets = materialise(live.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), *sketch), "sets")
+    keyed = sets.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
     members = materialise(keyed.join(buckets, "key"), "members")
-    brief = first.select("id", "n", *ODD)
+    brief = sets.select("id", "n", *ODD)
 
     def sift(pairs: DataFrame) -> DataFrame:
         x, y = brief.alias("x"), brief.alias("y")
@@ -228,7 +229,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     open_ = members.select("key", "band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = open_.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
     # each member takes its keys of earlier bands along: a pair counts in the first band that it shares
-    rest = open_.join(mixed, "key").join(first.select("id", "n", *ODD, "bands"), "id").withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands", "band")
+    rest = open_.join(mixed, "key").join(sets.select("id", "n", *ODD, "bands"), "id").withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands", "band")
     x, y = rest.alias("x"), rest.alias("y")
     fresh = ~F.exists(F.arrays_zip(F.col("x.before").alias("l"), F.col("y.before").alias("r")), lambda z: z["l"] == z["r"])
     two = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent) & fresh)
@@ -241,9 +242,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         roots = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(merged.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     roots = materialise(roots, "roots")
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    grouped = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").join(least, "root", "left").where("copies > 1 or component <> id")
+    grouped = sets.select("f1", "f2", "n", "id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").join(least, "root", "left").where("copies > 1 or component <> id")
     grouped = grouped.select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
-    out = held.join(grouped, ["f1", "f2", "n"], "left")
+    out = held.select("doc_id", "n", "f1", "f2").join(grouped, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
