@@ -18,20 +18,22 @@ from pyspark.sql import functions as F
 from .common import FOLDED, span_hashes, text_parts
 
 #: The model is fitted on at most so many labelled documents, those with the least hashes of their ids.
-MOST_TRAINING = 20_000
+MOST_TRAINING = 8_000
 #: Words of so many training documents at least, and of these the most telling ones, are features.
 LEAST_DOCUMENTS, MOST_FEATURES = 5, 4096
 PENALTY, STEPS = 4e-4, 400
 #: Grades above 0 that are derived from labels which only say toxic or not.
 LEVELS = 3
 _PART = 2 << 20
+#: Lengths in bytes of the beginnings of longer words that are features too, and numbers that tell them from words.
+STEMS = ((4, 0x5BD1E995), (6, 0x1B873593), (8, 0xCC9E2D51))
 #: Letters: of ASCII, and all bytes of other characters.
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[65:91] = _IS_LETTER[97:123] = _IS_LETTER[128:] = True
 
 
 def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the runs of letters, A-Z lowered, and the row of each."""
+    """64-bit hashes of the runs of letters, A-Z lowered, and of their beginnings, and the row of each."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -43,7 +45,15 @@ def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge[-1], edge[:-1] = True, other[1:]
     edge[offs[1:][offs[1:] > 0] - 1] = True
     ends = np.flatnonzero(edge & ~other) + 1
-    return span_hashes(raw, starts, ends, FOLDED), np.searchsorted(offs, starts, "right") - 1
+    row = np.searchsorted(offs, starts, "right") - 1
+    every, rows = [span_hashes(raw, starts, ends, FOLDED)], [row]
+    for n, salt in STEMS:
+        long = ends - starts > n
+        every.append(span_hashes(raw, starts[long], starts[long] + n, FOLDED) ^ np.uint64(salt))
+        rows.append(row[long])
+    rows = np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    return np.concatenate(every)[order], rows[order]
 
 
 @dataclass
@@ -80,19 +90,29 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     """Fit on the word hashes of each document and its grade (0 and up), by accelerated proximal
     gradient steps. Features are the words that tell grade 0 from the others best."""
     k = int(grades.max(initial=0))
-    if len(rows) == 0 or k == 0 or (grades == 0).sum() == 0:
-        # one grade only: nothing to tell apart
-        top = 30.0 if k == 0 else -30.0
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(max(k, 1), top))
+    if len(rows) == 0 or k == 0 or (grades == 0).sum() == 0 or not sum(map(len, rows)):
+        # one grade only, so nothing to tell apart: no text is called toxic
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(max(k, 1), 30.0))
     every = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    words, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
+    # most words are rare: they are dropped before anything else is made of them
+    order = np.sort(every)
+    first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
+    count = np.diff(np.append(first, len(order)))
+    often = count >= min(LEAST_DOCUMENTS, max(1, len(rows) // 20))
+    words, count = order[first[often]], count[often]
+    del order, first, often
+    if not len(words):
+        words, count = every[:1], np.ones(1, np.int64)
+    at = np.minimum(np.searchsorted(words, every), len(words) - 1)
+    known = words[at] == every
+    inverse, doc = at[known].astype(np.int32), doc[known]
+    del every, at, known
     bad = np.bincount(inverse, weights=(grades[doc] > 0), minlength=len(words))
     share = (grades > 0).mean()
     tell = np.abs(bad - share * count) / np.sqrt(count * share * (1 - share))
-    tell[count < min(LEAST_DOCUMENTS, max(1, len(rows) // 20))] = -1
     chosen = np.sort(np.argsort(-tell, kind="stable")[: min(MOST_FEATURES, int((tell > 1).sum()))])
-    place = np.full(len(words), -1)
+    place = np.full(len(words), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     keep = place[inverse] >= 0
     i, j = doc[keep], place[inverse[keep]]
@@ -139,28 +159,29 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
 
 
 def _cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
-    """The cutoff with the fewest errors on the training documents, in the middle (of log odds) if several
-    have as few. The penalty pulls probabilities towards the common grade, so it is below a half; it
-    isn't above."""
+    """The cutoff with the fewest errors on the training documents, in the widest gap if several have as
+    few, and a third of its way up in log odds: the clean documents are many, so where they end is known
+    better than where the toxic ones begin. The penalty pulls probabilities towards the common grade, so
+    the cutoff is below a half; it isn't above."""
     order = np.argsort(p)
     odds = np.clip(p[order], 1e-6, 1 - 1e-6)
     q, bad = np.log(odds / (1 - odds)), toxic[order]
-    missed = np.append(0, np.cumsum(bad))  # toxic ones below the cutoff ahead of each place
+    missed = np.append(0, np.cumsum(bad))  # toxic ones below a cutoff at each place
     false = np.append(np.cumsum(~bad[::-1])[::-1], 0)
-    edges = np.concatenate([q[:1], (q[1:] + q[:-1]) / 2, q[-1:]])
-    wrong = missed + false
+    wrong = (missed + false)[1:-1]  # places between two documents
     best = np.flatnonzero(wrong == wrong.min())
-    return float(min(0.5, 1 / (1 + np.exp(-edges[best].mean()))))
+    at = best[np.argmax(q[best + 1] - q[best])]
+    return float(min(0.5, 1 / (1 + np.exp(-(q[at] + (q[at + 1] - q[at]) / 3)))))
 
 
 def _hashes(batches):
     """The distinct word hashes of each text."""
     for batch in batches:
-        for at, n, raw, offs in text_parts(batch.column(1), _PART):
+        for at, n, raw, offs in text_parts(batch.column(2), _PART):
             h, row = tokens(raw, offs)
             bounds = np.searchsorted(row, np.arange(n + 1))
             own = [np.unique(h[a:b]).astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(own, pa.binary())], ["grade", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(own, pa.binary())], ["doc_id", "grade", "hashes"])
 
 
 def derived_grades(rows: list[np.ndarray], toxic: np.ndarray, levels: int = LEVELS) -> np.ndarray:
@@ -174,21 +195,40 @@ def derived_grades(rows: list[np.ndarray], toxic: np.ndarray, levels: int = LEVE
     return np.where(toxic > 0, 1 + np.searchsorted(edges, hits, "left"), 0)
 
 
+def _fit(value: str, levels: int):
+    """Fit on all batches of (doc_id, grade, hashes) of one task; yields the model as one row."""
+
+    def run(batches):
+        texts, grades = [], []
+        for batch in batches:
+            grades += batch.column(1).to_pylist()
+            texts += [np.frombuffer(x.as_buffer(), "<u8").copy() for x in batch.column(2)]
+        known = np.array(grades, np.int64)
+        m = fit(texts, known if value == "grade" else derived_grades(texts, (known > 0).astype(np.int64), levels))
+        yield pa.RecordBatch.from_pydict({"features": pa.array([m.features.astype("<u8").tobytes()], pa.binary()), "weights": [m.weights.tolist()], "thresholds": [m.thresholds.tolist()], "cutoff": [float(m.cutoff)]})
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, levels: int = LEVELS) -> Model:
     """Fit on documents and labels: (doc_id, grade) with grades of 0 and up, or (doc_id, toxic) with 0
     and 1, from which grades are derived (see derived_grades).
 
     At most `most` labels, those with the least hashes of their ids, are used, so what is broadcast and
-    what comes to the driver has a fixed bound. Labels without an id or a value are left out; of several
-    labels of one document the highest counts; of repeated documents at most `most` rows in all are
-    added. Without labels of two kinds the model tells nothing apart."""
+    what the one task that fits is given have a fixed bound; only the model comes to the driver. Labels
+    without an id or a value are left out; of several labels of one document the highest counts, and of
+    several rows one. Without labels of two kinds the model tells nothing apart."""
     value = "grade" if "grade" in labels.columns else "toxic"
-    held = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(value).cast("int").alias("grade"))
+    held = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(value).cast("int").alias("grade"))
     chosen = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text").limit(2 * most).mapInArrow(_hashes, "grade int, hashes binary").toArrow()
-    texts = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("hashes")]
-    grades = rows.column("grade").to_numpy().astype(np.int64)
-    return fit(texts, grades if value == "grade" else derived_grades(texts, (grades > 0).astype(np.int64), levels))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = named.select("doc_id", "grade", "text").mapInArrow(_hashes, "doc_id long, grade int, hashes binary")
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("hashes").alias("hashes")).repartition(1).sortWithinPartitions("doc_id")
+    made = rows.mapInArrow(_fit(value, levels), "features binary, weights array<double>, thresholds array<double>, cutoff double").collect()
+    if not made:  # no task, as there are no rows
+        return fit([], np.zeros(0, np.int64))
+    m = made[0]
+    return Model(np.frombuffer(bytes(m["features"]), "<u8"), np.array(m["weights"], np.float64), np.array(m["thresholds"], np.float64), m["cutoff"])
 
 
 def grade(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
@@ -199,12 +239,13 @@ def grade(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
     are scored as others are."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     c = len(columns)
-    frame = docs.select(*[F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(columns)], F.col("text").alias("t"))
+    at_text = columns.index("text") if "text" in columns else c
+    frame = docs.select(*[F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(columns)], *([] if at_text < c else [F.col("text").alias("t")]))
 
     def run(batches):
         m = held.value
         for batch in batches:
-            for at, n, raw, offs in text_parts(batch.column(c), _PART):
+            for at, n, raw, offs in text_parts(batch.column(at_text), _PART):
                 p = m.probabilities(m.scores(raw, offs))
                 high = 1 - p[:, 0]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, n) for i in range(c)], pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(p @ np.arange(p.shape[1])), pa.array(high), pa.array(high >= m.cutoff)], [*[f"c{i}" for i in range(c)], "grade", "severity", "p_toxic", "toxic"])
@@ -215,6 +256,7 @@ def grade(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that the model doesn't call toxic."""
+    """The rows of docs, all columns, that a model of docs and labels doesn't call toxic. Rows with null
+    or empty texts stay, as do rows without an id."""
     found = grade(docs, train(docs, labels), tuple(docs.columns), "_toxicity_")
     return found.where(~F.col("_toxicity_toxic")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -94,6 +94,7 @@ def test_toxic_documents_are_found(spark):
     kept = toxicity.keep(docs, lab)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 240
     assert toxicity.grade(docs, toxicity.train(docs, lab.limit(0))).where("toxic").count() == 0
+    assert toxicity.grade(docs, toxicity.train(docs, lab.where("toxic = 1"))).where("toxic").count() == 0
     assert toxicity.grade(frame(spark, []), model).count() == 0
 
 
