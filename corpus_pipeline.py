@@ -14,8 +14,8 @@ from keystead.llm.common import materialise, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.keep(docs, table(spark, sf_dir, "labels"))
+    """Documents that the rules reject go, by cutoffs that are tested for all rules together."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"), quality.joint_thresholds)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A rule compares one figure of a document with a cutoff. The cutoffs come from la
 each stratum and rule the strictest cutoff of a fixed grid is taken for which an exact binomial test
 shows that it rejects at most a given share of the good documents. The tests of all strata, rules and
 cutoffs are corrected for their number, so with probability 1 - DELTA no stratum loses more than ALPHA
-of its good documents.
+of its good documents. joint_thresholds() gives the same guarantee with fewer labels, by testing all
+rules together in a fixed sequence.
 """
 
 from __future__ import annotations
@@ -128,6 +129,18 @@ def most_errors(n: Column, alpha: float, level: Column) -> Column:
     return F.when(n > 0, F.aggregate(ks, start, step, lambda a: a["best"])).otherwise(F.lit(-1).cast("long"))
 
 
+def _holdout(measured: DataFrame, labels: DataFrame, stratum: str, prefix: str) -> DataFrame:
+    """The stratum and the rules' figures of each good document that passes the base rules."""
+    good = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").alias("_id")).distinct()
+    values = rule_values(prefix)
+    rows = measured.where(~base_failed(prefix)).select(F.col("doc_id").alias("_id"), F.col(stratum).alias("_stratum"), *[v.alias(f"_{k}") for k, v in values.items()])
+    return rows.join(good, "_id")
+
+
+def _with_strata(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("_strata", F.count(F.lit(1)).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "stratum", prefix: str = "", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row for each stratum that has a good document: the stratum and, for each rule, its cutoff
     (null where no cutoff is shown to be safe).
@@ -136,20 +149,49 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "stratum",
     whose label quality is 1 are the holdout; a document with several labels is good if one says so;
     labels without an id or a quality are left out. All are counted by (stratum, rule, cutoff) before
     anything is shuffled, so neither a large stratum nor a large table meets in one task."""
-    good = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-    values = rule_values(prefix)
-    rows = measured.where(~base_failed(prefix)).select(F.col("doc_id").alias("_id"), F.col(stratum).alias("_stratum"), *[v.alias(f"_{k}") for k, v in values.items()])
-    rows = rows.join(good, "_id")
+    rows = _holdout(measured, labels, stratum, prefix)
     counts = [F.sum((F.col(f"_{k}") > F.lit(float(c))).cast("long")).alias(f"_{k}_{j}") for k, cuts in RULES.items() for j, c in enumerate(cuts)]
     sums = rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"), *counts)
     tests = sum(len(x) for x in RULES.values())
-    sums = sums.withColumn("_strata", F.count(F.lit(1)).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    sums = _with_strata(sums)
     level = F.lit(delta) / (F.col("_strata") * tests)
     sums = sums.withColumn("_k", most_errors(F.col("_n"), alpha / len(RULES), level))
     cut = lambda k: F.coalesce(*[F.when(F.col(f"_{k}_{j}") <= F.col("_k"), F.lit(float(c))) for j, c in enumerate(RULES[k])])
     return sums.select("_stratum", F.col("_n").alias("_good"), *[cut(k).alias(f"_cut_{k}") for k in RULES])
 
 
+def cutoff_sets() -> list[dict[str, float]]:
+    """Sets of a cutoff for each rule, from lax to strict, each tightening one rule of the set before.
+
+    The order is fixed before any label is seen, which the test in joint_thresholds rests on: first
+    symbols, which prose of any language hardly has, then long_words, whose cutoffs lie well above common
+    mean lengths, then dup_lines and repeats in turn, which good texts have too."""
+    at = {k: len(c) - 1 for k, c in RULES.items()}
+    steps = [k for k in ("symbols", "long_words") for _ in RULES[k][1:]]
+    steps += [k for _ in RULES["dup_lines"][1:] for k in ("dup_lines", "repeats")]
+    sets = [dict(at)]
+    for k in steps:
+        at[k] -= 1
+        sets.append(dict(at))
+    return [{k: float(RULES[k][j]) for k, j in x.items()} for x in sets]
+
+
+def joint_thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "stratum", prefix: str = "", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """As thresholds(), with the same guarantee, but a cutoff set is tested once for what all its rules
+    reject together, and the sets of a stratum from lax to strict until one fails.
+
+    In such a fixed sequence a wrong set passes only if the first wrong one does, so delta is shared by
+    the strata alone and alpha isn't divided: 217 good documents without an error show a set to be safe
+    where there are 4 strata. Each set rejects what those before it do, so errors never fall along the
+    sequence, and the sets with few enough errors are those before the first failure."""
+    rows, sets = _holdout(measured, labels, stratum, prefix), cutoff_sets()
+    hit = [F.greatest(*[F.col(f"_{k}") > F.lit(c) for k, c in x.items()]).cast("long") for x in sets]
+    sums = _with_strata(rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(h).alias(f"_e{i}") for i, h in enumerate(hit)]))
+    sums = sums.withColumn("_k", most_errors(F.col("_n"), alpha, F.lit(delta) / F.col("_strata")))
+    cut = lambda k: F.coalesce(*[F.when(F.col(f"_e{i}") <= F.col("_k"), F.lit(x[k])) for i, x in reversed(list(enumerate(sets)))])
+    return sums.select("_stratum", F.col("_n").alias("_good"), *[cut(k).alias(f"_cut_{k}") for k in RULES])
+
+
 def verdict(measured: DataFrame, cuts: DataFrame, stratum: str, prefix: str = "") -> DataFrame:
     """measured with base_failed and kept (named with the prefix). A document is kept if it passes the
     base rules and none of its stratum's cutoffs rejects it; a stratum without cutoffs rejects none."""
@@ -165,21 +207,21 @@ def stratum_of(lang: Column) -> Column:
     return F.coalesce(lang, F.lit("?"))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, cutoffs=thresholds) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept for
     every document; texts are read once. Null ids are judged like others; empty and null texts fail
     the base rules."""
     slim = docs.select("doc_id", "text", stratum_of(F.col("lang")).alias("stratum"))
     measured = materialise(measure(slim).drop("text"), "figures")
-    out = verdict(measured, thresholds(measured, labels), "stratum")
+    out = verdict(measured, cutoffs(measured, labels), "stratum")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that judge() keeps. The figures are worked out again for the
-    second pass, which costs less than to write or shuffle the texts."""
+def keep(docs: DataFrame, labels: DataFrame, cutoffs=thresholds) -> DataFrame:
+    """The rows of docs, all columns, that judge() with the same cutoffs keeps. The figures are worked out again for the second pass, which costs less
+    than to write or shuffle the texts."""
     p = "_quality_"
     slim = docs.select("doc_id", "text", stratum_of(F.col("lang")).alias("stratum"))
-    cuts = materialise(thresholds(measure(slim, prefix=p).drop("text"), labels, prefix=p), "cutoffs")
+    cuts = materialise(cutoffs(measure(slim, prefix=p).drop("text"), labels, prefix=p), "cutoffs")
     rows = measure(docs.withColumn("_quality_stratum", stratum_of(F.col("lang"))), prefix=p)
     return verdict(rows, cuts, "_quality_stratum", p).where(f"{p}kept").select(*[F.col(f"`{c}`") for c in docs.columns])

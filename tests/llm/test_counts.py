@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from keystead.llm import chat, licenses, mixing, quality
 
 from .helpers import frame, prose
@@ -83,6 +84,39 @@ def test_verdicts(spark):
     assert quality.judge(docs, lab.limit(0)).where("kept").count() == 2400 + 1
 
 
+def test_small_strata_get_cutoffs_from_joint_tests(spark, tmp_path):
+    """Strata of 1600, 300 and 100 good labels: the pipeline's stage drops the junk of the first two."""
+    rng = random.Random(9)
+    sizes = {"en": 1600, "de": 300, "xx": 100}
+    rows, labels, junk = [], [], {g: set() for g in sizes}
+    for g, n in sizes.items():
+        for j in range(n + n // 5):
+            i = len(rows)
+            text = prose(rng, 60)
+            if j >= n:
+                text = text.replace(" ", "# " if j % 2 else "## ")
+                junk[g].add(i)
+            elif g == "en" and j < 20:
+                text += "\n" + "\n".join(["again"] * 2 + ["once", "more", "now"])  # 1 of 6 lines
+            rows.append((i, text, g, "s"))
+            labels.append((i, int(j < n), 0))
+    docs, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lab.write.parquet(str(tmp_path / "labels.parquet"))
+    measured = quality.measure(docs.withColumn("stratum", quality.stratum_of(F.col("lang"))))
+    by = {r["_stratum"]: r for r in quality.joint_thresholds(measured, lab).collect()}
+    # the least n of which no error is allowed, and the errors allowed, by the exact tail
+    tail = lambda n, k: sum(math.comb(n, x) * 0.02**x * 0.98 ** (n - x) for x in range(k + 1))
+    assert tail(300, 0) <= 0.05 / 3 < tail(100, 0) and tail(1600, 20) <= 0.05 / 3
+    assert by["xx"]["_cut_symbols"] is None and by["xx"]["_cut_repeats"] is None
+    assert (by["de"]["_cut_symbols"], by["de"]["_cut_long_words"], by["de"]["_cut_dup_lines"]) == (0.01, 7.0, 0.05)
+    sets = quality.cutoff_sets()
+    assert all(all(a[k] >= b[k] for k in a) and a != b for a, b in zip(sets, sets[1:])) and sets[-1] == {k: c[0] for k, c in quality.RULES.items()}
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    assert not kept & (junk["en"] | junk["de"]) and junk["xx"] <= kept
+    lost = {i for i, q, _ in labels if q} - kept
+    assert len(lost) <= 0.02 * 1600
+
+
 def water(sizes, share=1.5, most=2):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
