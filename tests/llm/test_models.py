@@ -98,6 +98,17 @@ def test_toxic_documents_are_found(spark):
     assert toxicity.grade(frame(spark, []), model).count() == 0
 
 
+def test_toxic_labels_beyond_the_first_thousands_count(spark):
+    """The only toxic documents are those behind 9,000 others in the order of the sample."""
+    order = [r["id"] for r in spark.range(10_000).orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(order[9_000:])
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 6) + (" vile" if i in late else ""), "en", "s") for i in range(10_000)]
+    docs, lab = frame(spark, rows), spark.createDataFrame([(i, 1, int(i in late)) for i in range(10_000)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"] for r in toxicity.grade(docs, toxicity.train(docs, lab)).where("toxic").collect()}
+    assert found == late
+
+
 def test_gradient_of_the_ordinal_model():
     """The fitted thresholds reproduce the shares of grades that carry no features."""
     rng = np.random.default_rng(0)
