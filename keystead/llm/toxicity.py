@@ -214,13 +214,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, levels:
     """Fit on documents and labels: (doc_id, grade) with grades of 0 and up, or (doc_id, toxic) with 0
     and 1, from which grades are derived (see derived_grades).
 
-    At most `most` labels, those with the least hashes of their ids, are used, so what is broadcast and
+    At most `most` labels of documents in docs, those with the least hashes of their ids, are used, so what is broadcast and
     what the one task that fits is given have a fixed bound; only the model comes to the driver. Labels
     without an id or a value are left out; of several labels of one document the highest counts, and of
     several rows one. Without labels of two kinds the model tells nothing apart."""
     value = "grade" if "grade" in labels.columns else "toxic"
     held = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(value).cast("int").alias("grade"))
-    chosen = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    chosen = held.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = named.select("doc_id", "grade", "text").mapInArrow(_hashes, "doc_id long, grade int, hashes binary")
     rows = rows.groupBy("doc_id", "grade").agg(F.min("hashes").alias("hashes")).repartition(1).sortWithinPartitions("doc_id")

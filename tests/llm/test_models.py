@@ -109,6 +109,16 @@ def test_toxic_labels_beyond_the_first_thousands_count(spark):
     assert found == late
 
 
+def test_labels_of_other_documents_do_not_use_up_the_sample(spark):
+    """The documents that are there come last in the order of the sample, and it is as large as they are many."""
+    order = [r["id"] for r in spark.range(1000).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 20) + (" vile" if i % 4 == 0 else ""), "en", "s") for i in order[800:]]
+    docs, lab = frame(spark, rows + rows[:3]), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in order], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"] for r in toxicity.grade(docs, toxicity.train(docs, lab, most=200)).where("toxic").collect()}
+    assert found == {i for i in order[800:] if i % 4 == 0}
+
+
 def test_gradient_of_the_ordinal_model():
     """The fitted thresholds reproduce the shares of grades that carry no features."""
     rng = np.random.default_rng(0)
