@@ -96,6 +96,20 @@ def test_segments_out_of_range_are_not_read(spark, store, monkeypatch):
         d.insert_data(frame(spark, [(dt.date(2024, 1, 2), None)], "d date, f timestamp"))
 
 
+def test_ranges_of_another_key_are_not_compared(spark, store):
+    fields, schema = {"a": "INTEGER", "b": "INTEGER", "t": "TEXT"}, "a long, b long, t string"
+    Table(store, "o", fields, ["a"]).insert_data(frame(spark, [(1, 1000, "x")], schema))
+    t = Table(store, "o", fields, ["b"])  # the same columns, another key
+    t.insert_data(frame(spark, [(3, 5, "w")], schema))
+    with pytest.raises(ValueError, match="duplicate key"):
+        t.insert_data(frame(spark, [(2, 1000, "y")], schema))
+    t.upsert_data(frame(spark, [(2, 1000, "z")], schema))
+    assert rows(t) == [(2, 1000, "z"), (3, 5, "w")]
+    t.add_constraint(["t"])  # a text against the numbers of before
+    t.upsert_data(frame(spark, [(7, 8, "z")], schema))
+    assert rows(t) == [(3, 5, "w"), (7, 8, "z")]
+
+
 def test_upsert_where_all_columns_are_keys(spark, store):
     t = Table(store, "k", {"a": "TEXT", "b": "INTEGER"}, ["a", "b"])
     t.insert_data(frame(spark, [("x", 1)], "a string, b long"))
