@@ -240,6 +240,20 @@ def test_common_lines_are_a_longest_common_subsequence(a, b):
     assert all(a[i] in it for i in sorted(same))
 
 
+def test_marked_elements_without_an_end_tag():
+    inside = lambda x: htmltext.blocks(f"<body><article>{x}</article><p>out</body>")[0]
+    assert inside("<p>one<p class=notice>gone <b>too<p>two</b><p>three") == ["one", "two", "three"]
+    assert inside("<p class=notice>gone<h2>two</h2>three") == ["two", "three"]
+    assert inside("<ul><li>one<li class=share>gone<ul><li>also<li>this</ul>and<li>two</ul>three") == ["one", "two", "three"]
+    assert inside("<ul><li class=share>gone</ul>three") == ["three"]
+    assert inside("<dl><dt>a<dd class=ad>gone<dl><dt>x<dd>y</dl><dt>b<dd>c</dl>d") == ["a", "b", "c", "d"]
+    assert inside("<table><tr class=ad><td>gone<td>too<tr><td>one<td class=ad>gone<td>two</table>three") == ["one two", "three"]
+    assert inside("<div>one<p class=ad>gone <i>more</div>two") == ["one", "two"]
+    # other unclosed elements go up to the next article, as before
+    assert htmltext.blocks("<div class=ad>gone<p>gone<article><p>one</article>")[0] == ["one"]
+    assert inside("<div class=ad>gone<p>gone") == []
+
+
 def test_pages_lose_what_their_neighbour_shares(spark):
     page = lambda *own: "<body>" + "".join(f"<div>{x}</div>" for x in ("Home | News", *own, "All rights")) + "</body>"
     rows = [
