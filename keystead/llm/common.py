@@ -33,6 +33,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the taken is, upper or lower case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Bind value once and use it many times in body(x): a lambda variable isn't computed again
     for each use, as a shared subexpression inside of lambdas would be."""

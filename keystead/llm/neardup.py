@@ -9,9 +9,13 @@ What passes is confirmed by comparing the sets themselves.
 Candidates come in two rounds, so that a group of many copies never becomes all of its pairs. First each
 member of a band's bucket is compared with the bucket's first member; what is linked becomes one
 component. Then only the members of buckets that still hold several components are compared, across
-components, each pair once. A pair that both rounds leave out lies in one component already or shares no
-band: at a similarity of 0.8 the chance of sharing none of 32 bands of 4 is 5e-8, and the sieve's limits
-lie 5.5 deviations from what a linked pair shows. No bucket, group or candidate list is cut.
+components; a bucket of any size is dealt out in pairs of blocks. A pair that both rounds leave out lies
+in one component already or shares no band: at a similarity of 0.8 the chance of sharing none of 32 bands
+of 4 is 5e-8, and the sieve's limits lie 5.5 deviations from what a linked pair shows. No bucket, group
+or candidate list is cut.
+
+Rows are told apart by doc_id and a hash of the text, so a doc_id that several texts share stands for as
+many documents.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, materialise, mix, row_sums, span_hashes, text_parts, word_spans
+from .common import FOLDED, free_names, materialise, mix, row_sums, span_hashes, text_parts, word_spans
 
 #: Words of a shingle, and the similarity that links: 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 80
@@ -30,8 +34,9 @@ SAMPLES = BANDS * ROWS
 #: Shingles that an odd sketch samples, its bits and 64-bit words, and the deviations that its limits allow.
 LEAST, BITS, DEVIATIONS = 1024, 1024, 5.5
 ODD = [f"o{j}" for j in range(BITS // 64)]
-#: Pairs of one first member that are confirmed by one group.
-CHUNK = 64
+#: Pairs of one first member that are confirmed by one group, members in a block of a bucket, and the parts
+#: over which the rows of one band key are spread where they meet the key's own row.
+CHUNK, BLOCK, SPREAD = 256, 2048, 16
 _PART = 2 << 20
 _random = np.random.default_rng(1)
 _A = _random.integers(0, 1 << 64, SAMPLES, np.uint64) | np.uint64(1)
@@ -98,14 +103,19 @@ def _sketch(words: int):
                 m = np.array([samples(x) for x in sets], np.uint64).reshape(n, SAMPLES)
                 odd = odd_words(sets)
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(m).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(size), pa.array(one), pa.array(two), keys, *[pa.array(np.ascontiguousarray(odd[:, j])) for j in range(len(ODD))]], ["doc_id", "n", "f1", "f2", "bands", *ODD])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(size), pa.array(one), pa.array(two), keys, *[pa.array(np.ascontiguousarray(odd[:, j])) for j in range(len(ODD))]], ["doc_id", "t", "n", "f1", "f2", "bands", *ODD])
 
     return run
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text and t, a hash of the text: doc_id and t name a row, but for equal rows."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("t"))
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (shingles), f1 and f2 (fingerprint of the set), bands and the odd sketch of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(words), f"doc_id long, n long, f1 long, f2 long, bands array<long>, {', '.join(f'{o} long' for o in ODD)}")
+    """doc_id, t, n (shingles), f1 and f2 (fingerprint of the set), bands and the odd sketch of every row."""
+    return named(docs).select("doc_id", "text", "t").mapInArrow(_sketch(words), f"doc_id long, t long, n long, f1 long, f2 long, bands array<long>, {', '.join(f'{o} long' for o in ODD)}")
 
 
 def most_ones(n: Column, m: Column, percent: int) -> Column:
@@ -196,22 +206,43 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
-
-    A-Z are lowered; words are runs without white space. component_id is the smallest doc_id that links
-    reach, the row's own included; kept is doc_id = component_id. Null and empty texts have no shingles
-    and are linked with nothing. A row without a doc_id is linked with nothing, has no component_id and
-    is kept. Repeated rows are in one component, and those with its smallest doc_id are all kept; rows
-    with one doc_id and different texts count as one document. Other columns are ignored."""
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """many joined with few, which has one row for each key. Rows of many with one key go to SPREAD tasks
+    by a hash of `by`, and few's row to each of them, so a key with a third of all rows isn't one task's."""
+    left = many.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
+    right = few.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
+def across(open_: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of a bucket that are in different components and that sizes and odd
+    sketches allow. open_ has key, id, root, n and the sketch. A bucket is dealt out in blocks, and each
+    pair of blocks is a group of its own."""
+    sizes = open_.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("m")).where("r <> s")
+    sizes = sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
+    rest = spread_join(open_, sizes, "key", "id").withColumn("at", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+    zero = F.lit(0).cast("long")
+    x = rest.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence(F.col("at"), F.col("blocks") - 1))).alias("x")
+    y = rest.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(zero, F.col("at")))).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.id") < F.col("y.id"))
+    both = x.join(y, same & once & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent))
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, t, n and, for rows whose set other rows have or are linked with, the least row of their
+    component as struct best (doc_id, t); one row for every row of docs. Written."""
     held = materialise(sketches(docs, words), "sketches")
     live = held.where("n > 0 and doc_id is not null")
-    # one row for each set, with the sketch that all its copies share; copies are merged before rows move
+    # one row for each set, with the sketch that all its copies share and its least row; copies are merged
+    # before rows move. The numbers of the sets are fixed by writing them
     sketch = [F.first(c).alias(c) for c in ("bands", *ODD)]
-    sets = materialise(live.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), *sketch), "sets")
-    keyed = sets.select("id", F.posexplode("bands").alias("band", "key"))
+    sets = live.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "t")).alias("row"), F.count(F.lit(1)).alias("copies"), *sketch)
+    sets = materialise(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    keyed = sets.select("id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
-    members = materialise(keyed.join(buckets, "key"), "members")
+    members = materialise(spread_join(keyed, buckets, "key", "id"), "members")
     brief = sets.select("id", "n", *ODD)
 
     def sift(pairs: DataFrame) -> DataFrame:
@@ -220,20 +251,13 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         return both.where(_may_link("x", "y", percent)).select("a", "b").distinct()
 
     one = materialise(sift(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()), "pairs")
-    wanted = members.select("id").distinct()
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = materialise(source.join(wanted, "id", "left_semi").distinct(), "texts")
+    wanted = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "row.doc_id", "row.t")
+    texts = materialise(named(docs).join(wanted, ["doc_id", "t"]).groupBy("id").agg(F.first("text").alias("text")), "texts")
     links = materialise(confirm(one, texts, words, percent), "links")
     roots = components(links)
     # buckets that hold several components still
-    open_ = members.select("key", "band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = open_.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    # each member takes its keys of earlier bands along: a pair counts in the first band that it shares
-    rest = open_.join(mixed, "key").join(sets.select("id", "n", *ODD, "bands"), "id").withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands", "band")
-    x, y = rest.alias("x"), rest.alias("y")
-    fresh = ~F.exists(F.arrays_zip(F.col("x.before").alias("l"), F.col("y.before").alias("r")), lambda z: z["l"] == z["r"])
-    two = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent) & fresh)
-    two = two.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
+    open_ = members.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).join(brief, "id")
+    two = across(open_, percent).join(one, ["a", "b"], "left_anti")
     more = materialise(confirm(materialise(two, "pairs"), texts, words, percent), "links")
     if not more.isEmpty():
         joined = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
@@ -241,21 +265,41 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         nodes = links.select(F.col("a").alias("node")).union(links.select("b")).union(more.select("a")).union(more.select("b")).distinct()
         roots = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(merged.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     roots = materialise(roots, "roots")
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    grouped = sets.select("f1", "f2", "n", "id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").join(least, "root", "left").where("copies > 1 or component <> id")
-    grouped = grouped.select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
-    out = held.select("doc_id", "n", "f1", "f2").join(grouped, ["f1", "f2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
+    slim = sets.select("f1", "f2", "n", "id", "row", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    least = slim.where("root is not null").groupBy("root").agg(F.min("row").alias("best"))
+    grouped = slim.join(least, "root", "left").where("copies > 1 or root is not null")
+    grouped = grouped.select("f1", "f2", "n", F.coalesce("best", "row").alias("best"))
+    out = held.select("doc_id", "t", "n", "f1", "f2").join(grouped, ["f1", "f2", "n"], "left")
+    return materialise(out.select("doc_id", "t", "n", F.when(F.col("doc_id").isNotNull(), F.col("best")).alias("best")), "rows")
+
+
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+    A-Z are lowered; words are runs without white space. component_id is the smallest doc_id that links
+    reach, the row's own included; kept is doc_id = component_id. Each row is a document: rows that share
+    a doc_id but not their text are linked by their texts alone, so they can have different components.
+    Repeated rows are in one component, and those with its smallest doc_id are all kept. Null and empty
+    texts have no shingles and are linked with nothing. A row without a doc_id is linked with nothing, has
+    no component_id and is kept. Other columns are ignored."""
+    out = _linked(docs, words, percent)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("best.doc_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns: of each component the one row with its smallest doc_id, and every
-    row without a doc_id."""
-    found = materialise(classes(docs, words, percent), "classes")
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named, nameless = out.where("doc_id is not null"), out.where("doc_id is null")
-        out = named.dropDuplicates(["doc_id"]).unionByName(nameless)
+    """The rows of docs, all columns: one of each component, with its smallest doc_id, and every row
+    without a doc_id or without a word. Of equal rows one stays; of rows of one component that share its
+    smallest doc_id the one with the least hash of its text."""
+    found = _linked(docs, words, percent).where("best is not null")
+    own = F.struct("doc_id", "t")
+    keys = found.groupBy("doc_id", "t").agg((F.first("best") == own).alias("stays"), F.count(F.lit(1)).alias("n"))
+    keys = materialise(keys.select("doc_id", "t", F.when(F.col("stays"), F.col("n")).otherwise(F.lit(0)).alias("n")).where("n <> 1"), "gone")
+    id_, hash_ = free_names(docs.columns, "_id", "_hash")
+    rows = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(hash_, F.xxhash64("text"))
+    on = lambda k: (rows[id_] == k["doc_id"]) & (rows[hash_] == k["t"])
+    out = rows.join(keys, on(keys), "left_anti")
+    repeated = keys.where("n > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, on(repeated), "left_semi").dropDuplicates([id_, hash_]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -83,6 +83,67 @@ def test_empty_null_ids_and_repeats(spark):
     assert kept.columns == frame(spark, []).columns
 
 
+def test_ids_that_several_texts_share(spark):
+    """Each row is a document: no text goes without a linked one that stays."""
+    a, b, c = "alpha beta gamma delta eps", "one two three four five", "six seven eight nine ten"
+    got = neardup.classes(frame(spark, [(1, a, None, None), (1, b, None, None), (2, b, None, None)])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False)]
+    rng = random.Random(12)
+    texts = [a, b, c, *[prose(rng, 40) for _ in range(20)]]
+    texts += [" ".join(["zz", *t.split()]) for t in texts[3:]]
+    rows = [(rng.randrange(6), rng.choice(texts), None, None) for _ in range(150)] + [(3, None, None, None), (3, None, None, None), (3, "", None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in neardup.keep_one(frame(spark, rows)).collect()]
+    assert sorted(t or "" for _, t in kept)[:3] == [""] * 3  # rows without words stay
+    parts = brute([(i, t) for i, (_, t, _, _) in enumerate(rows)], 5)
+    groups = {}
+    for i, (n, component) in parts.items():
+        if n:
+            groups.setdefault(component, []).append(rows[i][:2])
+    assert len(kept) == len(groups) + 3
+    for own in groups.values():
+        inside = [x for x in kept if x in own]
+        assert len(inside) == 1 and inside[0][0] == min(i for i, _ in own)
+
+
+def test_large_buckets_are_dealt_out_in_blocks(spark, monkeypatch):
+    """Families that share most of their words, with blocks of a few members."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    rng = random.Random(3)
+    core, rows = [f"c{i}" for i in range(70)], []
+    for i in range(150):
+        own = [f"o{i // 2}x{j}" for j in range(26 + i % 2)]
+        rows.append((rng.randrange(10**6), " ".join(core + own), None, None))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.classes(frame(spark, rows), 4).collect()}
+    assert got == brute([r[:2] for r in rows], 4)
+
+
+def test_no_link_is_lost_on_real_documents(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 4).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    at, shared = {}, {}
+    for i in sorted(sets):
+        both = {}
+        for x in sets[i]:
+            for j in at.get(x, ()):
+                both[j] = both.get(j, 0) + 1
+            at.setdefault(x, []).append(i)
+        for j, n in both.items():
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+                shared[i, j] = n
+    assert len(shared) > 50 and got == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000, 2000), (3001, 3000)]
     got = {}
