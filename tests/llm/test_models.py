@@ -227,6 +227,55 @@ def test_article_of_a_page():
     assert htmltext.blocks("<p>a</p><footer unclosed")[1] == ["a"]
 
 
+def test_article_text_that_looks_like_boilerplate_stays():
+    inside = lambda x: htmltext.blocks(f"<body><nav>m</nav><article>{x}</article><p>out</body>")[0]
+    assert inside('<section id="notice"><p>one</p><p>two</p></section>') == ["one", "two"]
+    assert inside('<h3 id="search">Search trees</h3><p id="sharing">x</p>') == ["Search trees", "x"]
+    assert inside('<p class="widget-demo">one</p><p class="has-ad">two</p>') == ["one", "two"]
+    assert inside("<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math> holds</p>") == ["so x=1 holds"]
+    assert inside("<p>a <audio src=x>no player</audio> b</p>") == ["a no player b"]
+    assert inside("<nav><ul><li>menu</ul><p>one</p><p>two</p>") == ["one", "two"]
+    assert htmltext.blocks("<body><div><nav><a>menu</a></div><div>one</div><p>two</p></body>")[1] == ["one", "two"]
+    assert htmltext.blocks("<main><p>intro</p><article>teaser</article><p>body</p></main>")[0] == ["intro", "teaser", "body"]
+    assert htmltext.blocks("<main><p>by</p><article>the story</article><p>x</p></main>")[0] == ["the story"]
+    # marks still go
+    for mark in ('div class="cookie-notice"', 'div class="ad-slot-3"', 'div class="share buttons"', 'div id="comments"', 'section id="comments"', 'section class="comments"', 'div id="notice"', 'p class=ad', 'ul class="related-posts"', "div class='newsletter_signup-box'", "div role=alert", "div hidden"):
+        assert inside(f"<p>one</p><{mark}><i>gone</i></{mark.split()[0]}><p>two</p>") == ["one", "two"], mark
+    assert htmltext.blocks('<body class="has-sidebar"><div class="main-content"><p>one</p></div></body>')[1] == ["one"]
+
+
+def test_generated_pages(spark):
+    """Pages whose article text is known, in many layouts, compared exactly."""
+    rng = random.Random(21)
+    junk = ["<nav><ul><li><a href=/x>Home</a><li>News</ul></nav>", "<div class=ad>Buy now</div>", "<aside><p>Side</p></aside>", "<form><label>Name <input></label><button>Go</button></form>", "<!-- <p>no</p> -->",
+            '<div class="cookie-notice"><p>Cookies</p></div>', "<script>var a='</p><p>no'</script>", "<style>p{}</style>", '<section class="comments"><h2>Comments</h2><p>First!</p></section>', '<div class="share-buttons">Share</div>']
+    rows, want = [], {}
+    for i in range(300):
+        parts, lines = [], []
+        for _ in range(rng.randrange(1, 9)):
+            if rng.random() < 0.4:
+                parts.append(rng.choice(junk))
+            words = [rng.choice(["red", "a&b", "x<y", "é", "10 €", "it's", "von", "c"]) for _ in range(rng.randrange(1, 12))]
+            marked = [f"<{t}>{w}</{t}>" if (t := rng.choice(["b", "i", "em", "", "", ""])) else w for w in (w.replace("&", "&amp;").replace("<", "&lt;").replace("€", rng.choice(["€", "&euro;", "&#8364;", "&#x20AC;"])) for w in words)]
+            tag = rng.choice(['p', 'p', 'h2 id="search"', 'blockquote', 'p class="widget-demo"', 'div', 'section id="notice"'])
+            parts.append(f"<{tag}>{rng.choice([' ', chr(10) + '  ']).join(marked)}" + ("" if tag == "p" and rng.random() < 0.5 else f"</{tag.split()[0]}>"))
+            if tag == "p" and parts[-1].endswith("</p>") is False and rng.random() < 0.5:
+                parts[-1] += "</p>"
+            lines.append(" ".join(words))
+        body = "".join(parts)
+        wrap = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div id=page><article><header>{}</header></article></div>" if len(lines) == 1 else "<article>{}</article>"])
+        page = f"<!DOCTYPE html><html><head><title>T</title></head><body><header><h1>Site</h1></header>{rng.choice(junk)}{wrap.format(body)}{rng.choice(junk)}<footer>Foot</footer></body></html>"
+        rows.append((i, f"http://h{i % 5}/p/{i}", page))
+        want[i] = "\n".join(lines)
+    long = "<article>" + "<p>word</p>" * 60_000 + "</article>"
+    rows += [(1000, None, long), (1001, "http://h1/p/1", long), (0, rows[0][1], rows[0][2])]
+    want |= {1000: "\n".join(["word"] * 60_000), 1001: "\n".join(["word"] * 60_000)}
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["text"] == want[r["page_id"]], rows[r["page_id"]][2] if r["page_id"] < 300 else "long"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_common_lines_are_a_longest_common_subsequence(a, b):
@@ -249,7 +298,7 @@ def test_marked_elements_without_an_end_tag():
     assert inside("<dl><dt>a<dd class=ad>gone<dl><dt>x<dd>y</dl><dt>b<dd>c</dl>d") == ["a", "b", "c", "d"]
     assert inside("<table><tr class=ad><td>gone<td>too<tr><td>one<td class=ad>gone<td>two</table>three") == ["one two", "three"]
     assert inside("<div>one<p class=ad>gone <i>more</div>two") == ["one", "two"]
-    # other unclosed elements go up to the next article, as before
+    # other unclosed elements go up to the next article or their parent's end
     assert htmltext.blocks("<div class=ad>gone<p>gone<article><p>one</article>")[0] == ["one"]
     assert inside("<div class=ad>gone<p>gone") == []
 
@@ -264,7 +313,7 @@ def test_pages_lose_what_their_neighbour_shares(spark):
     got = {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()}
     assert got[1] == "one\nuno" and got[2] == "two" and got[3] == "nine"
     assert got[4] == "Home | News\nalone\nAll rights" and got[8] == "Home | News\nno url\nAll rights"
-    assert got[5] == got[6] == "Home | News\nsame\ncopy\nAll rights"
+    assert got[5] == got[6] == "same\ncopy"  # copies are one page, whose neighbour is another one
     assert got[7].startswith("The Title") and got[9] == "" and got[None] == ""
     again = {r["page_id"]: r["text"] for r in htmltext.extract(df.repartition(5)).collect()}
     assert again == got and htmltext.extract(df.limit(0)).count() == 0
