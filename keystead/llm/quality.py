@@ -1,11 +1,11 @@
 """Quality rules with risk-controlled thresholds, with DataFrame functions only.
 
-A rule compares one figure of a document with a cutoff. The cutoffs come from labelled documents: for
-each stratum and rule the strictest cutoff of a fixed grid is taken for which an exact binomial test
-shows that it rejects at most a given share of the good documents. The tests of all strata, rules and
-cutoffs are corrected for their number, so with probability 1 - DELTA no stratum loses more than ALPHA
-of its good documents. joint_thresholds() gives the same guarantee with fewer labels, by testing all
-rules together in a fixed sequence.
+A rule compares one figure of a document with a cutoff. Sets of a cutoff for each rule are tried on
+labelled documents, from lax to strict: for each stratum the strictest set is taken for which an exact
+binomial test shows that all rules together reject at most a given share of the good documents. The sets
+are tested in a fixed sequence that ends at the first failure, so they need no correction for their
+number; the level is shared by the strata. With probability 1 - DELTA no stratum loses more than ALPHA of
+its good documents.
 """
 
 from __future__ import annotations
@@ -85,11 +85,11 @@ def figures(text: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """docs with the figures of its text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    and n_lines, as bigint columns whose names begin with prefix."""
+    n_lines and text_hash, as bigint columns whose names begin with prefix."""
     x = f"{prefix}figures"
-    out = docs.withColumn(x, figures(F.col(text)))
+    out = docs.withColumn(x, figures(F.col(text))).withColumn(f"{prefix}text_hash", F.xxhash64(F.col(text)))
     names = {"n_words": "w.n_words", "word_chars": "w.word_chars", "n_symbols": "n_symbols", "n_dup_lines": "l.n_dup_lines", "n_repeat_words": "w.n_repeat_words", "n_lines": "l.n_lines"}
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{x}.{y}").alias(f"{prefix}{k}") for k, y in names.items()])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{x}.{y}").alias(f"{prefix}{k}") for k, y in names.items()], f"{prefix}text_hash")
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -114,8 +114,6 @@ def most_errors(n: Column, alpha: float, level: Column) -> Column:
     """The largest k with P(Binomial(n, alpha) <= k) <= level, or -1: with k or fewer rejected of n good
     documents, a rejection rate above alpha is refuted at that level. Terms are added as logarithms,
     for k up to the mean; above that the probability is about a half and no level allows it."""
-
-
     p, q = math.log(alpha), math.log1p(-alpha)
     start = F.struct((n * F.lit(q)).alias("term"), (n * F.lit(q)).alias("total"), F.lit(-1).cast("long").alias("best"))
 
@@ -129,68 +127,46 @@ def most_errors(n: Column, alpha: float, level: Column) -> Column:
     return F.when(n > 0, F.aggregate(ks, start, step, lambda a: a["best"])).otherwise(F.lit(-1).cast("long"))
 
 
-def _holdout(measured: DataFrame, labels: DataFrame, stratum: str, prefix: str) -> DataFrame:
-    """The stratum and the rules' figures of each good document that passes the base rules."""
-    good = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-    values = rule_values(prefix)
-    rows = measured.where(~base_failed(prefix)).select(F.col("doc_id").alias("_id"), F.col(stratum).alias("_stratum"), *[v.alias(f"_{k}") for k, v in values.items()])
-    return rows.join(good, "_id")
-
-
-def _with_strata(sums: DataFrame) -> DataFrame:
-    return sums.withColumn("_strata", F.count(F.lit(1)).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-
-
-def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "stratum", prefix: str = "", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum that has a good document: the stratum and, for each rule, its cutoff
-    (null where no cutoff is shown to be safe).
-
-    measured has doc_id, the stratum and the figures. Labelled documents that pass the base rules and
-    whose label quality is 1 are the holdout; a document with several labels is good if one says so;
-    labels without an id or a quality are left out. All are counted by (stratum, rule, cutoff) before
-    anything is shuffled, so neither a large stratum nor a large table meets in one task."""
-    rows = _holdout(measured, labels, stratum, prefix)
-    counts = [F.sum((F.col(f"_{k}") > F.lit(float(c))).cast("long")).alias(f"_{k}_{j}") for k, cuts in RULES.items() for j, c in enumerate(cuts)]
-    sums = rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"), *counts)
-    tests = sum(len(x) for x in RULES.values())
-    sums = _with_strata(sums)
-    level = F.lit(delta) / (F.col("_strata") * tests)
-    sums = sums.withColumn("_k", most_errors(F.col("_n"), alpha / len(RULES), level))
-    cut = lambda k: F.coalesce(*[F.when(F.col(f"_{k}_{j}") <= F.col("_k"), F.lit(float(c))) for j, c in enumerate(RULES[k])])
-    return sums.select("_stratum", F.col("_n").alias("_good"), *[cut(k).alias(f"_cut_{k}") for k in RULES])
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of each document that a label calls good, once. Labels without an id or a quality are left out."""
+    return labels.where("doc_id is not null and quality = 1").select("doc_id").distinct()
 
 
 def cutoff_sets() -> list[dict[str, float]]:
-    """Sets of a cutoff for each rule, from lax to strict, each tightening one rule of the set before.
-
-    The order is constant, which the test in joint_thresholds rests on; it was chosen with a look at the
-    labels of sf0.1 and check_s, so for those tables themselves the guarantee is not strict: first
-    symbols, which prose of any language hardly has, then long_words, whose cutoffs lie well above common
-    mean lengths, then dup_lines and repeats in turn, which good texts have too."""
+    """Sets of a cutoff for each rule, from lax to strict: the rules are tightened by one step in turn.
+    The order is constant, which the tests in a fixed sequence rest on."""
     at = {k: len(c) - 1 for k, c in RULES.items()}
-    steps = [k for k in ("symbols", "long_words") for _ in RULES[k][1:]]
-    steps += [k for _ in RULES["dup_lines"][1:] for k in ("dup_lines", "repeats")]
     sets = [dict(at)]
-    for k in steps:
-        at[k] -= 1
-        sets.append(dict(at))
+    while any(at.values()):
+        for k in RULES:
+            if at[k]:
+                at[k] -= 1
+                sets.append(dict(at))
     return [{k: float(RULES[k][j]) for k, j in x.items()} for x in sets]
 
 
-def joint_thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "stratum", prefix: str = "", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """As thresholds(), with the same guarantee, but a cutoff set is tested once for what all its rules
-    reject together, and the sets of a stratum from lax to strict until one fails.
-
-    In such a fixed sequence a wrong set passes only if the first wrong one does, so delta is shared by
-    the strata alone and alpha isn't divided: 217 good documents without an error show a set to be safe
-    where there are 4 strata. Each set rejects what those before it do, so errors never fall along the
-    sequence, and the sets with few enough errors are those before the first failure."""
-    rows, sets = _holdout(measured, labels, stratum, prefix), cutoff_sets()
-    hit = [F.greatest(*[F.col(f"_{k}") > F.lit(c) for k, c in x.items()]).cast("long") for x in sets]
-    sums = _with_strata(rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(h).alias(f"_e{i}") for i, h in enumerate(hit)]))
-    sums = sums.withColumn("_k", most_errors(F.col("_n"), alpha, F.lit(delta) / F.col("_strata")))
-    cut = lambda k: F.coalesce(*[F.when(F.col(f"_e{i}") <= F.col("_k"), F.lit(x[k])) for i, x in reversed(list(enumerate(sets)))])
-    return sums.select("_stratum", F.col("_n").alias("_good"), *[cut(k).alias(f"_cut_{k}") for k in RULES])
+def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "stratum", prefix: str = "", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row for each stratum that has a good document: the stratum (cut_stratum), its number of good
+    texts (cut_good) and for each rule its cutoff (cut_<rule>, null where no set is shown to be safe); names
+    begin with prefix.
+
+    measured has doc_id, the stratum and the figures. Its documents that a label calls good and that pass
+    the base rules are the holdout. Each different text of a stratum counts once, however many rows,
+    labels or ids it has, as the binomial test asks for independent trials; near copies are not told from
+    other texts. A set tightens those before it and so rejects what they do: errors never fall along the
+    sequence, and the sets with few enough errors are those before the first failure. Where there are 4
+    strata, 217 good texts without an error show a set to be safe. Texts are merged and counted before
+    rows move, so neither a large stratum nor a large table meets in one task; what is left is a row for
+    each stratum."""
+    sets, values = cutoff_sets(), rule_values(prefix)
+    hit = [F.greatest(*[values[k] > F.lit(c) for k, c in x.items()]).cast("long") for x in sets]
+    rows = measured.where(~base_failed(prefix)).select("doc_id", F.col(stratum).alias("stratum"), F.col(f"{prefix}text_hash").alias("text_hash"), *[h.alias(f"e{i}") for i, h in enumerate(hit)])
+    texts = rows.join(good_ids(labels), "doc_id", "left_semi").groupBy("stratum", "text_hash").agg(*[F.max(f"e{i}").alias(f"e{i}") for i in range(len(sets))])
+    sums = texts.groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *[F.sum(f"e{i}").alias(f"e{i}") for i in range(len(sets))])
+    sums = sums.withColumn("strata", F.count(F.lit(1)).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    sums = sums.withColumn("most", most_errors(F.col("good"), alpha, F.lit(delta) / F.col("strata")))
+    cut = lambda k: F.coalesce(*[F.when(F.col(f"e{i}") <= F.col("most"), F.lit(x[k])) for i, x in reversed(list(enumerate(sets)))])
+    return sums.select(F.col("stratum").alias(f"{prefix}cut_stratum"), F.col("good").alias(f"{prefix}cut_good"), *[cut(k).alias(f"{prefix}cut_{k}") for k in RULES])
 
 
 def verdict(measured: DataFrame, cuts: DataFrame, stratum: str, prefix: str = "") -> DataFrame:
@@ -198,8 +174,8 @@ def verdict(measured: DataFrame, cuts: DataFrame, stratum: str, prefix: str = ""
     base rules and none of its stratum's cutoffs rejects it; a stratum without cutoffs rejects none."""
     bad = F.lit(False)
     for k, v in rule_values(prefix).items():
-        bad = bad | F.coalesce(v > F.col(f"_cut_{k}"), F.lit(False))
-    joined = measured.withColumn("_at", F.col(stratum)).join(cuts, F.col("_at").eqNullSafe(F.col("_stratum")), "left")
+        bad = bad | F.coalesce(v > F.col(f"{prefix}cut_{k}"), F.lit(False))
+    joined = measured.join(cuts, F.col(stratum).eqNullSafe(F.col(f"{prefix}cut_stratum")), "left")
     return joined.select(*[F.col(f"`{c}`") for c in measured.columns], base_failed(prefix).alias(f"{prefix}base_failed"), (~base_failed(prefix) & ~bad).alias(f"{prefix}kept"))
 
 
@@ -208,21 +184,26 @@ def stratum_of(lang: Column) -> Column:
     return F.coalesce(lang, F.lit("?"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, cutoffs=thresholds) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept for
     every document; texts are read once. Null ids are judged like others; empty and null texts fail
-    the base rules."""
+    the base rules; repeated rows are judged alike. Other columns are ignored."""
     slim = docs.select("doc_id", "text", stratum_of(F.col("lang")).alias("stratum"))
     measured = materialise(measure(slim).drop("text"), "figures")
-    out = verdict(measured, cutoffs(measured, labels), "stratum")
+    out = verdict(measured, materialise(thresholds(measured, labels), "cutoffs"), "stratum")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def keep(docs: DataFrame, labels: DataFrame, cutoffs=thresholds) -> DataFrame:
-    """The rows of docs, all columns, that judge() with the same cutoffs keeps. The figures are worked out again for the second pass, which costs less
-    than to write or shuffle the texts."""
-    p = "_quality_"
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns under whatever names, that judge() keeps. Only documents with a good
+    label are measured for the cutoffs, then all for their verdict, whose texts aren't written or shuffled."""
     slim = docs.select("doc_id", "text", stratum_of(F.col("lang")).alias("stratum"))
-    cuts = materialise(cutoffs(measure(slim, prefix=p).drop("text"), labels, prefix=p), "cutoffs")
-    rows = measure(docs.withColumn("_quality_stratum", stratum_of(F.col("lang"))), prefix=p)
-    return verdict(rows, cuts, "_quality_stratum", p).where(f"{p}kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    good = materialise(good_ids(labels), "good")
+    cuts = thresholds(measure(slim.join(good, "doc_id", "left_semi")).drop("text"), labels)
+    prefix = "quality_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    cuts = materialise(cuts.toDF(*[prefix + c for c in cuts.columns]), "cutoffs")
+    stratum = f"{prefix}stratum"
+    rows = measure(docs.withColumn(stratum, stratum_of(F.col("lang"))), prefix=prefix)
+    return verdict(rows, cuts, stratum, prefix).where(f"`{prefix}kept`").select(*[F.col(f"`{c}`") for c in docs.columns])

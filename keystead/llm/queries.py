@@ -115,9 +115,9 @@ SELECT * FROM r WHERE rank <= 5
 
 def _quality_sql() -> str:
     rules = {"symbols": "n_symbols / word_chars", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words", "long_words": "word_chars / n_words"}
-    cuts = ", ".join(f"('{k}', {float(c)!r}::DOUBLE)" for k, own in quality.RULES.items() for c in own)
-    value = " ".join(f"WHEN '{k}' THEN CASE WHEN {x.split(' / ')[1]} > 0 THEN {x.replace(' / ', '::DOUBLE / ')}::DOUBLE ELSE 0 END" for k, x in rules.items())
-    tests, alpha = sum(map(len, quality.RULES.values())), quality.ALPHA / len(quality.RULES)
+    sets = ", ".join(f"({j}, {', '.join(f'{c!r}::DOUBLE' for c in x.values())})" for j, x in enumerate(quality.cutoff_sets()))
+    values = ", ".join(f"CASE WHEN {x.split(' / ')[1]} > 0 THEN {x.replace(' / ', '::DOUBLE / ')}::DOUBLE ELSE 0 END AS v_{k}" for k, x in rules.items())
+    hit = " OR ".join(f"v_{k} > c_{k}" for k in rules)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '?') AS stratum FROM documents),
 w AS (SELECT rid, regexp_extract_all(t, '[^{_SPACE}]+') AS w FROM d),
@@ -125,21 +125,20 @@ win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SEL
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1),
 cov AS (SELECT rid, CAST(sum(least(3, i - p)) AS BIGINT) AS n FROM (SELECT rid, i, lag(i, 1, -100) OVER (PARTITION BY rid ORDER BY i) AS p FROM rep) GROUP BY rid),
 lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS l FROM d),
-f AS (SELECT d.rid, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[{_SPACE}]+', '', 'g')) AS BIGINT) AS word_chars,
+f AS (SELECT d.rid, doc_id, t, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[{_SPACE}]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
   FROM d JOIN w USING (rid) JOIN lines USING (rid) LEFT JOIN cov USING (rid)),
-b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM f),
-cuts(rule, cut) AS (VALUES {cuts}),
-g AS (SELECT rid, stratum, rule, cut, CASE rule {value} END > cut AS hit FROM b JOIN cuts ON true WHERE NOT base_failed),
-good AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality = 1),
-n AS (SELECT stratum, count(*) AS n, count(*) OVER () AS strata FROM b JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
-pmf AS (SELECT stratum, n, strata, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({alpha!r}) + (n - k) * ln(1 - {alpha!r})) AS p FROM (SELECT stratum, n, strata, unnest(range(0, CAST(floor(n * {alpha!r}) AS BIGINT) + 1)) AS k FROM n)),
+b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, {values} FROM f),
+sets(j, {", ".join(f"c_{k}" for k in rules)}) AS (VALUES {sets}),
+good AS (SELECT DISTINCT stratum, md5(t) AS t, {", ".join(f"v_{k}" for k in rules)} FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality = 1)),
+n AS (SELECT stratum, count(*) AS n, count(*) OVER () AS strata FROM good GROUP BY stratum),
+pmf AS (SELECT stratum, n, strata, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({quality.ALPHA!r}) + (n - k) * ln(1 - {quality.ALPHA!r})) AS p FROM (SELECT stratum, n, strata, unnest(range(0, CAST(floor(n * {quality.ALPHA!r}) AS BIGINT) + 1)) AS k FROM n)),
 cdf AS (SELECT *, sum(p) OVER (PARTITION BY stratum ORDER BY k) AS c FROM pmf),
-most AS (SELECT stratum, max(CASE WHEN c <= {quality.DELTA!r} / (strata * {tests}) THEN k ELSE -1 END) AS k FROM cdf GROUP BY stratum),
-errors AS (SELECT g.stratum, rule, cut, count(CASE WHEN hit THEN 1 END) AS e FROM g JOIN b USING (rid) WHERE b.doc_id IN (SELECT doc_id FROM good) GROUP BY g.stratum, rule, cut),
-safe AS (SELECT stratum, rule, min(cut) AS cut FROM errors JOIN most USING (stratum) WHERE e <= k GROUP BY stratum, rule),
-bad AS (SELECT DISTINCT rid FROM g JOIN safe USING (stratum, rule, cut) WHERE hit)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM b
+most AS (SELECT stratum, max(CASE WHEN c <= {quality.DELTA!r} / strata THEN k ELSE -1 END) AS k FROM cdf GROUP BY stratum),
+errors AS (SELECT stratum, j, count(CASE WHEN {hit} THEN 1 END) AS e FROM good JOIN sets ON true GROUP BY stratum, j),
+safe AS (SELECT stratum, max(j) AS j FROM errors JOIN most USING (stratum) WHERE e <= k GROUP BY stratum),
+cut AS (SELECT * FROM safe JOIN sets USING (j))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({hit}, false) AS kept FROM b LEFT JOIN cut USING (stratum)
 """
 
 

@@ -6,11 +6,12 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keystead.llm import chat, licenses, mixing, quality
+from keystead.llm import chat, licenses, mixing, quality, queries
 
 from .helpers import frame, prose
 
@@ -72,10 +73,10 @@ def test_verdicts(spark):
     got = {r["doc_id"]: r for r in quality.judge(docs, lab).collect()}
     assert len(got) == len(rows)
     # enough good labels are there for one stratum: its bad documents go, labelled or not
-    loose = quality.thresholds(quality.measure(docs.withColumn("stratum", quality.stratum_of(F.col("lang")))), lab, alpha=0.1).collect()
-    by = {r["_stratum"]: r for r in loose}
-    assert by["en"]["_cut_symbols"] == 0.01 and by["xx"]["_cut_symbols"] is None
-    assert got[5000]["base_failed"] and not got[5001]["kept"] and got[None]["kept"]
+    found = quality.thresholds(quality.measure(docs.withColumn("stratum", quality.stratum_of(F.col("lang")))), lab).collect()
+    by = {r["cut_stratum"]: r for r in found}
+    assert by["en"]["cut_symbols"] == 0.01 and by["xx"]["cut_symbols"] is None
+    assert got[5000]["base_failed"] and not got[5001]["kept"] and got[None]["kept"] and not any(got[i]["kept"] for i in range(0, 2300, 4))
     assert got[4]["kept"] is not None and got[2300]["kept"]  # the stratum of few labels rejects none
     kept = quality.keep(docs, lab)
     assert kept.columns == docs.columns
@@ -103,12 +104,12 @@ def test_small_strata_get_cutoffs_from_joint_tests(spark, tmp_path):
     docs, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     lab.write.parquet(str(tmp_path / "labels.parquet"))
     measured = quality.measure(docs.withColumn("stratum", quality.stratum_of(F.col("lang"))))
-    by = {r["_stratum"]: r for r in quality.joint_thresholds(measured, lab).collect()}
+    by = {r["cut_stratum"]: r for r in quality.thresholds(measured, lab).collect()}
     # the least n of which no error is allowed, and the errors allowed, by the exact tail
     tail = lambda n, k: sum(math.comb(n, x) * 0.02**x * 0.98 ** (n - x) for x in range(k + 1))
     assert tail(300, 0) <= 0.05 / 3 < tail(100, 0) and tail(1600, 20) <= 0.05 / 3
-    assert by["xx"]["_cut_symbols"] is None and by["xx"]["_cut_repeats"] is None
-    assert (by["de"]["_cut_symbols"], by["de"]["_cut_long_words"], by["de"]["_cut_dup_lines"]) == (0.01, 7.0, 0.05)
+    assert by["xx"]["cut_symbols"] is None and by["xx"]["cut_repeats"] is None
+    assert (by["de"]["cut_symbols"], by["de"]["cut_long_words"], by["de"]["cut_dup_lines"]) == (0.01, 7.0, 0.05)
     sets = quality.cutoff_sets()
     assert all(all(a[k] >= b[k] for k in a) and a != b for a, b in zip(sets, sets[1:])) and sets[-1] == {k: c[0] for k, c in quality.RULES.items()}
     kept = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
@@ -117,6 +118,73 @@ def test_small_strata_get_cutoffs_from_joint_tests(spark, tmp_path):
     assert len(lost) <= 0.02 * 1600
 
 
+def brute_quality(rows, labels, alpha=0.02, delta=0.05):
+    """doc_id to kept by the definition: exact tails, sets from lax to strict, each text of a stratum once."""
+    good_ids = {i for i, q, *_ in labels if q == 1 and i is not None}
+    ratio = lambda a, b: a / b if b else 0.0
+
+    def values(text):
+        w, c, s, d, r = figures(text)
+        lines = sum(bool(re.search(WORD, x)) for x in (text or "").split("\n"))
+        return w < 50 or 100 * r > 50 * w, {"symbols": ratio(s, c), "dup_lines": ratio(d, lines), "repeats": ratio(r, w), "long_words": ratio(c, w)}
+
+    known = {t: values(t) for t in {r[1] for r in rows}}
+    strata = {}
+    for i, t, g, _ in rows:
+        if i in good_ids and not known[t][0]:
+            strata.setdefault(g or "?", set()).add(t)
+    cut = {}
+    for g, texts in strata.items():
+        n = len(texts)
+        for x in quality.cutoff_sets():
+            e = sum(any(known[t][1][k] > c for k, c in x.items()) for t in texts)
+            if sum(math.comb(n, k) * alpha**k * (1 - alpha) ** (n - k) for k in range(e + 1)) > delta / len(strata):
+                break
+            cut[g] = x
+    return [(i, not known[t][0] and not any(known[t][1][k] > c for k, c in cut.get(g or "?", {}).items())) for i, t, g, _ in rows], cut
+
+
+def test_strata_with_cutoffs_against_brute_force_and_sql(spark, tmp_path):
+    """Documents are rejected by learned cutoffs in several strata; repeated rows, copies and near ties included."""
+    rng = random.Random(31)
+    rows, labels = [], []
+    for g, n in {"en": 900, "de": 420, "fr": 440, "xx": 120, None: 400}.items():
+        for j in range(n):
+            i, text = len(rows), prose(rng, 60)
+            if j % 9 == 0:
+                text = text.replace(" ", "# " if j % 2 else "*$* ")
+            elif j % 31 == 1:
+                text += "\n" + "\n".join(["again"] * rng.randrange(2, 5) + ["once", "more", "now"])
+            elif j % 31 == 2:
+                text = " ".join(w + "lengthened" for w in text.split())
+            elif j % 31 == 3 and rows:
+                text = rows[-1][1]
+            rows.append((i, text, g, "s"))
+            labels.append((i, int(j % 9 != 0 and j % 31 != 2), 0))
+    rows += rows[5:9] + [(None, rows[0][1], "en", None), (9000, None, "en", None), (9001, "", None, None), (9002, "long " * 40_000, "de", None)]
+    labels += [labels[4], (None, 1, 0), (7, None, 0), (9, 0, 0), (88888, 1, 0)]
+    docs, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want, cut = brute_quality(rows, labels)
+    base = lambda t: (f := figures(t))[0] < 50 or 100 * f[4] > 50 * f[0]
+    learned = {(g or "?") for (_, t, g, _), (_, kept) in zip(rows, want) if not kept and not base(t)}
+    assert {"en", "de", "fr", "?"} <= learned and "xx" not in cut
+    rejected = quality.judge(docs, lab)
+    order = lambda pairs: sorted(pairs, key=str)
+    assert order((r["doc_id"], r["kept"]) for r in rejected.collect()) == order(want)
+    clash = docs.selectExpr("*", "1 as _at", "2 as _stratum", "3 as _cut_symbols", "4 as quality_kept", "5 as stratum", "6 as `a.b`")
+    kept = quality.keep(clash, lab)
+    assert kept.columns == clash.columns
+    assert order(r["doc_id"] for r in kept.collect()) == order(i for i, k in want if k) and {tuple(r[-6:]) for r in kept.collect()} == {(1, 2, 3, 4, 5, 6)}
+    c = duckdb.connect()
+    docs.write.parquet(str(tmp_path / "documents"))
+    lab.write.parquet(str(tmp_path / "labels"))
+    for t in ("documents", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path / t}/*.parquet'")
+    got = c.sql(queries.ORACLE_SQL["op8_quality"]).fetchall()
+    names = [x[0] for x in c.description] if c.description else c.sql(queries.ORACLE_SQL["op8_quality"]).columns
+    assert order((dict(zip(names, r))["doc_id"], dict(zip(names, r))["kept"]) for r in got) == order(want)
+
+
 def water(sizes, share=1.5, most=2):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
