@@ -1,27 +1,30 @@
 """Toxicity: cumulative-link ordinal regression on sparse word features.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): all thresholds share the weights w, so the expected severity,
-the sum of k P(grade = k), rises with w.x. x says which words a text has. The weights are fitted with an
-L1 penalty, which leaves those of few words other than 0; these are broadcast and every whole text is
-scored in numpy.
+the sum of k P(grade = k), rises with w.x. x says which words a text has. The features are chosen by
+distributed counts over the labelled texts; the weights are fitted with an L1 penalty, which leaves those
+of few words other than 0; these are broadcast and every whole text is scored in numpy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, span_hashes, text_parts
+from .common import FOLDED, free_names, materialise, span_hashes, text_parts
 
 #: The model is fitted on at most so many labelled documents, those with the least hashes of their ids.
 MOST_TRAINING = 20_000
 #: Words of so many training documents at least, and of these the most telling ones, are features.
 LEAST_DOCUMENTS, MOST_FEATURES = 5, 4096
 PENALTY, STEPS = 4e-4, 400
+#: Parts of the training documents, each of which is scored by a model of the others to choose the cutoff.
+FOLDS = 4
 #: Grades above 0 that are derived from labels which only say toxic or not.
 LEVELS = 3
 _PART = 2 << 20
@@ -86,37 +89,9 @@ class Model:
         return np.diff(edges, axis=1)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
-    """Fit on the word hashes of each document and its grade (0 and up), by accelerated proximal
-    gradient steps. Features are the words that tell grade 0 from the others best."""
-    k = int(grades.max(initial=0))
-    if len(rows) == 0 or k == 0 or (grades == 0).sum() == 0 or not sum(map(len, rows)):
-        # one grade only, so nothing to tell apart: no text is called toxic
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(max(k, 1), 30.0))
-    every = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
-    # most words are rare: they are dropped before anything else is made of them
-    order = np.sort(every)
-    first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
-    count = np.diff(np.append(first, len(order)))
-    often = count >= min(LEAST_DOCUMENTS, max(1, len(rows) // 20))
-    words, count = order[first[often]], count[often]
-    del order, first, often
-    if not len(words):
-        words, count = every[:1], np.ones(1, np.int64)
-    at = np.minimum(np.searchsorted(words, every), len(words) - 1)
-    known = words[at] == every
-    inverse, doc = at[known].astype(np.int32), doc[known]
-    del every, at, known
-    bad = np.bincount(inverse, weights=(grades[doc] > 0), minlength=len(words))
-    share = (grades > 0).mean()
-    tell = np.abs(bad - share * count) / np.sqrt(count * share * (1 - share))
-    chosen = np.sort(np.argsort(-tell, kind="stable")[: min(MOST_FEATURES, int((tell > 1).sum()))])
-    place = np.full(len(words), -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[inverse] >= 0
-    i, j = doc[keep], place[inverse[keep]]
-    n, d = len(rows), len(chosen)
+def _solve(i: np.ndarray, j: np.ndarray, n: int, d: int, grades: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by accelerated proximal gradient steps. Document i has feature j; there are n
+    documents with grades of 0 to k, and d features."""
 
     def times(w):
         return np.bincount(i, weights=w[j], minlength=n)
@@ -124,14 +99,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     def back(v):
         return np.bincount(j, weights=v[i], minlength=d)
 
-    v = np.random.default_rng(3).random(d)
+    v, norm = np.random.default_rng(3).random(d), 1.0
     for _ in range(20):
         v = back(times(v))
         norm = np.linalg.norm(v)
         if norm == 0:
             break
         v /= norm
-    step = n / (0.5 * max(norm if d else 1.0, n) + 1e-9)
+    step = n / (0.5 * max(norm, n) + 1e-9)
     shares = np.cumsum(np.bincount(grades, minlength=k + 1))[:-1] / n
     shares = np.clip(shares, 1e-3, 1 - 1e-3)
     theta = np.log(shares / (1 - shares))
@@ -152,14 +127,42 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         after = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         look_w, look_t = new_w + (momentum - 1) / after * (new_w - w), np.maximum.accumulate(new_t + (momentum - 1) / after * (new_t - theta) + 1e-9 * np.arange(k))
         w, theta, momentum = new_w, new_t, after
-    used = w != 0
-    model = Model(words[chosen][used], w[used], theta)
-    model.cutoff = _cutoff(1 - model.probabilities(times(w))[:, 0], grades > 0)
+    return w, theta
+
+
+def fit(places: list[np.ndarray], grades: np.ndarray, features: np.ndarray) -> Model:
+    """Fit on the places in `features` (hashes in order) that each document has, and its grade (0 and up).
+
+    The cutoff comes from scores of held-out documents: each of FOLDS parts is scored by a model of the
+    others."""
+    k, n, d = int(grades.max(initial=0)), len(places), len(features)
+    if n == 0 or k == 0 or (grades == 0).sum() == 0:
+        # one grade only, so nothing to tell apart: no text is called toxic
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(max(k, 1), 30.0))
+    i = np.repeat(np.arange(n), [len(x) for x in places])
+    j = np.concatenate(places).astype(np.int64)
+    w, theta = _solve(i, j, n, d, grades, k)
+    model = Model(features[w != 0], w[w != 0], theta)
+    held = np.full(n, np.nan)
+    fold = np.arange(n) % FOLDS
+    for f in range(FOLDS):
+        own, others = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        known = grades[others]
+        if known.min(initial=k) > 0 or known.max(initial=0) == 0 or not len(own):
+            continue
+        at = np.zeros(n, np.int64)
+        at[others] = np.arange(len(others))
+        use = fold[i] != f
+        fw, ft = _solve(at[i[use]], j[use], len(others), d, known, k)
+        held[own] = 1 - Model(features, fw, ft).probabilities(np.bincount(i, weights=fw[j], minlength=n)[own])[:, 0]
+    seen = ~np.isnan(held)
+    if seen.any() and 0 < (grades[seen] > 0).sum() < seen.sum():
+        model.cutoff = _cutoff(held[seen], grades[seen] > 0)
     return model
 
 
 def _cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
-    """The cutoff with the fewest errors on the training documents, in the widest gap if several have as
+    """The cutoff with the fewest errors on held-out documents, in the widest gap if several have as
     few, and a third of its way up in log odds: the clean documents are many, so where they end is known
     better than where the toxic ones begin. The penalty pulls probabilities towards the common grade, so
     the cutoff is below a half; it isn't above."""
@@ -184,27 +187,65 @@ def _hashes(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(own, pa.binary())], ["doc_id", "grade", "hashes"])
 
 
-def derived_grades(rows: list[np.ndarray], toxic: np.ndarray, levels: int = LEVELS) -> np.ndarray:
+def _feature_counts(batches):
+    """How many texts of a batch have each hash, and how many of these have a grade above 0."""
+    for batch in batches:
+        every = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8")
+        bad = np.frombuffer(b"".join(x for x, g in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()) if g > 0), "<u8")
+        hashes, n = np.unique(every, return_counts=True)
+        of = np.zeros(len(hashes), np.int64)
+        own, m = np.unique(bad, return_counts=True)
+        of[np.searchsorted(hashes, own)] = m
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n), pa.array(of)], ["h", "n", "bad"])
+
+
+def telling(rows: DataFrame, n: int, bad: int) -> np.ndarray:
+    """The hashes, in order, of the features that tell grade 0 from the others best: at most MOST_FEATURES.
+    rows has doc_id, grade and hashes of n texts, bad of them with a grade above 0."""
+    counts = rows.mapInArrow(_feature_counts, "h long, n long, bad long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    share = bad / n
+    tell = F.abs(F.col("bad") - share * F.col("n")) / F.sqrt(F.col("n") * (share * (1 - share)))
+    best = counts.where(F.col("n") >= min(LEAST_DOCUMENTS, max(1, n // 20))).withColumn("tell", tell).where("tell > 1").orderBy(F.col("tell").desc(), "h").limit(MOST_FEATURES)
+    return np.sort(np.array([x["h"] for x in best.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _places(features: np.ndarray):
+    """The places in features of the hashes that a text has."""
+
+    def run(batches):
+        for batch in batches:
+            held = []
+            for x in batch.column(2).to_pylist():
+                own = np.frombuffer(x, "<u8")
+                at = np.minimum(np.searchsorted(features, own), max(0, len(features) - 1))
+                held.append(at[features[at] == own].astype("<u2").tobytes() if len(features) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary())], ["doc_id", "grade", "places"])
+
+    return run
+
+
+def derived_grades(places: list[np.ndarray], toxic: np.ndarray, d: int, levels: int = LEVELS) -> np.ndarray:
     """Grades from labels that only say toxic or not: 0 is not toxic; toxic documents are ranked by how
     many telling words a first model finds in them, and equal shares get the grades 1 to levels."""
-    first = fit(rows, toxic)
-    bad = first.features[first.weights > 0]
-    hits = np.array([np.isin(x, bad, assume_unique=True).sum() for x in rows]) if rows else np.zeros(0)
-    of = hits[toxic > 0]
-    edges = np.quantile(of, np.arange(1, levels) / levels) if len(of) else np.zeros(levels - 1)
+    if not len(places) or not 0 < (toxic > 0).sum() < len(toxic):
+        return np.where(toxic > 0, 1, 0)
+    i, j = np.repeat(np.arange(len(places)), [len(x) for x in places]), np.concatenate(places).astype(np.int64)
+    w, _ = _solve(i, j, len(places), d, toxic, 1)
+    hits = np.bincount(i, weights=w[j] > 0, minlength=len(places))
+    edges = np.quantile(hits[toxic > 0], np.arange(1, levels) / levels)
     return np.where(toxic > 0, 1 + np.searchsorted(edges, hits, "left"), 0)
 
 
-def _fit(value: str, levels: int):
-    """Fit on all batches of (doc_id, grade, hashes) of one task; yields the model as one row."""
+def _fit(value: str, levels: int, features: np.ndarray):
+    """Fit on all batches of (doc_id, grade, places) of one task; yields the model as one row."""
 
     def run(batches):
-        texts, grades = [], []
+        places, grades = [], []
         for batch in batches:
             grades += batch.column(1).to_pylist()
-            texts += [np.frombuffer(x.as_buffer(), "<u8").copy() for x in batch.column(2)]
+            places += [np.frombuffer(x, "<u2") for x in batch.column(2).to_pylist()]
         known = np.array(grades, np.int64)
-        m = fit(texts, known if value == "grade" else derived_grades(texts, (known > 0).astype(np.int64), levels))
+        m = fit(places, known if value == "grade" else derived_grades(places, (known > 0).astype(np.int64), len(features), levels), features)
         yield pa.RecordBatch.from_pydict({"features": pa.array([m.features.astype("<u8").tobytes()], pa.binary()), "weights": [m.weights.tolist()], "thresholds": [m.thresholds.tolist()], "cutoff": [float(m.cutoff)]})
 
     return run
@@ -214,50 +255,66 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, levels:
     """Fit on documents and labels: (doc_id, grade) with grades of 0 and up, or (doc_id, toxic) with 0
     and 1, from which grades are derived (see derived_grades).
 
-    At most `most` labels of documents in docs, those with the least hashes of their ids, are used, so what is broadcast and
-    what the one task that fits is given have a fixed bound; only the model comes to the driver. Labels
-    without an id or a value are left out; of several labels of one document the highest counts, and of
-    several rows one. Without labels of two kinds the model tells nothing apart."""
+    At most `most` labels of documents in docs, those with the least hashes of their ids, are used. Their
+    texts, of any length, are counted where they lie; the one task that fits is given a document's places
+    among at most MOST_FEATURES features, so it has a fixed bound, as has the model that comes to the
+    driver. Labels without an id or a value are left out; of several labels of one document the highest
+    counts, and of several rows one. Without labels of two kinds the model tells nothing apart."""
     value = "grade" if "grade" in labels.columns else "toxic"
     held = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(value).cast("int").alias("grade"))
     there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     chosen = held.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = named.select("doc_id", "grade", "text").mapInArrow(_hashes, "doc_id long, grade int, hashes binary")
-    rows = rows.groupBy("doc_id", "grade").agg(F.min("hashes").alias("hashes")).repartition(1).sortWithinPartitions("doc_id")
-    made = rows.mapInArrow(_fit(value, levels), "features binary, weights array<double>, thresholds array<double>, cutoff double").collect()
-    if not made:  # no task, as there are no rows
-        return fit([], np.zeros(0, np.int64))
-    m = made[0]
+    # at most `most` rows of two numbers are broadcast
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = ids.select("doc_id", "grade", "text").mapInArrow(_hashes, "doc_id long, grade int, hashes binary")
+    rows = materialise(rows.groupBy("doc_id", "grade").agg(F.min("hashes").alias("hashes")), "hashes")
+    n, bad = rows.agg(F.count(F.lit(1)), F.count_if(F.col("grade") > 0)).first()
+    if not 0 < bad < n:
+        return fit([], np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    features = telling(rows, n, bad)
+    seen = rows.mapInArrow(_places(features), "doc_id long, grade int, places binary").repartition(1).sortWithinPartitions("doc_id")
+    m = seen.mapInArrow(_fit(value, levels, features), "features binary, weights array<double>, thresholds array<double>, cutoff double").first()
     return Model(np.frombuffer(bytes(m["features"]), "<u8"), np.array(m["weights"], np.float64), np.array(m["thresholds"], np.float64), m["cutoff"])
 
 
-def grade(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """The columns named, then grade (the likeliest), severity (expected grade), p_toxic (probability of a
-    grade above 0) and toxic (p_toxic at least the model's cutoff) of every row.
-
-    Null and empty texts have no words and are scored by the thresholds alone. Null and repeated ids
-    are scored as others are."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    c = len(columns)
-    at_text = columns.index("text") if "text" in columns else c
-    frame = docs.select(*[F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(columns)], *([] if at_text < c else [F.col("text").alias("t")]))
+def _scored(text: Column, model) -> Column:
+    """A struct (grade, severity, p_toxic, toxic) of a text. Only the texts go to the Python workers."""
 
-    def run(batches):
-        m = held.value
-        for batch in batches:
-            for at, n, raw, offs in text_parts(batch.column(at_text), _PART):
+    @F.arrow_udf("grade int, severity double, p_toxic double, toxic boolean")
+    def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = model.value
+        for texts in column:
+            parts = []
+            for _, _, raw, offs in text_parts(texts, _PART):
                 p = m.probabilities(m.scores(raw, offs))
                 high = 1 - p[:, 0]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, n) for i in range(c)], pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(p @ np.arange(p.shape[1])), pa.array(high), pa.array(high >= m.cutoff)], [*[f"c{i}" for i in range(c)], "grade", "severity", "p_toxic", "toxic"])
+                toxic = high >= m.cutoff
+                likely = np.where(toxic, 1 + p[:, 1:].argmax(axis=1), 0).astype(np.int32)
+                parts.append(pa.StructArray.from_arrays([pa.array(likely), pa.array(p @ np.arange(p.shape[1])), pa.array(high), pa.array(toxic)], ["grade", "severity", "p_toxic", "toxic"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], _SCORED)
 
-    fields = [f"c{i} {frame.schema[i].dataType.simpleString()}" for i in range(c)]
-    out = frame.mapInArrow(run, ", ".join([*fields, "grade int, severity double, p_toxic double, toxic boolean"]))
-    return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(columns)], *[F.col(x).alias(f"{prefix}{x}") for x in ("grade", "severity", "p_toxic", "toxic")])
+    return run(text)
+
+
+_SCORED = pa.struct([("grade", pa.int32()), ("severity", pa.float64()), ("p_toxic", pa.float64()), ("toxic", pa.bool_())])
+
+
+def grade(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, grade, severity (expected grade), p_toxic (probability of a grade above 0) and toxic (p_toxic
+    at least the model's cutoff) of every row. grade is 0 where toxic is false, else the likeliest grade
+    above 0.
+
+    Null and empty texts have no words and are scored by the thresholds alone. Null and repeated ids
+    are scored as others are; texts of any length are scored whole. Other columns are ignored."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    out = docs.select("doc_id", _scored(F.col("text"), held).alias("r"))
+    return out.select("doc_id", "r.grade", "r.severity", "r.p_toxic", "r.toxic")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that a model of docs and labels doesn't call toxic. Rows with null
-    or empty texts stay, as do rows without an id."""
-    found = grade(docs, train(docs, labels), tuple(docs.columns), "_toxicity_")
-    return found.where(~F.col("_toxicity_toxic")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, all columns under whatever names, that a model of docs and labels doesn't call
+    toxic. Rows with null or empty texts stay, as do rows without an id."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    (name,) = free_names(docs.columns, "toxicity")
+    found = docs.withColumn(name, _scored(F.col("text"), held))
+    return found.where(~F.col(f"{name}.toxic")).select(*[F.col(f"`{c}`") for c in docs.columns])

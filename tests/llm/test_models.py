@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -91,8 +92,12 @@ def test_toxic_documents_are_found(spark):
     assert not got[5000]["toxic"] and not got[None]["toxic"] and len(got) == len(rows)
     severe = {n: np.mean([got[i]["severity"] for i in range(0, 1200, 5) if sum(w.lower().strip(",.") in INSULTS for w in rows[i][1].split()) == n]) for n in (2, 9)}
     assert severe[9] > severe[2] > 0.5
-    kept = toxicity.keep(docs, lab)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 240
+    assert all((r["grade"] > 0) == r["toxic"] for r in got.values())
+    clash = docs.selectExpr("*", "1 as toxicity", "2 as _toxicity_toxic", "3 as grade", "4 as `a.b`")
+    kept = toxicity.keep(clash, lab)
+    assert kept.columns == clash.columns and kept.count() == len(rows) - 240 and kept.where("toxicity = 1 and grade = 3").count() == len(rows) - 240
+    long = frame(spark, [(1, "plain " * 300_000 + "vile rotten foul nasty", None, None), (1, "plain", None, None), (1, "plain", None, None)])
+    assert sorted(r["toxic"] for r in toxicity.grade(long, model).collect()) == [False, False, True]
     assert toxicity.grade(docs, toxicity.train(docs, lab.limit(0))).where("toxic").count() == 0
     assert toxicity.grade(docs, toxicity.train(docs, lab.where("toxic = 1"))).where("toxic").count() == 0
     assert toxicity.grade(frame(spark, []), model).count() == 0
@@ -123,12 +128,45 @@ def test_gradient_of_the_ordinal_model():
     """The fitted thresholds reproduce the shares of grades that carry no features."""
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 3, 3000)
-    rows = [np.array([1, 2 + i % 7], np.uint64) for i in range(3000)]
-    model = toxicity.fit(rows, grades)
+    places = [np.array([0, 1 + i % 7]) for i in range(3000)]
+    model = toxicity.fit(places, grades, np.arange(8, dtype=np.uint64))
     p = model.probabilities(np.zeros(1))[0]
     assert p == pytest.approx(np.bincount(grades) / 3000, abs=0.03) and p.sum() == pytest.approx(1)
 
 
+def test_fit_against_a_dense_one():
+    """The sparse solver against plain gradient descent on the dense likelihood, written out on its own."""
+    rng = np.random.default_rng(4)
+    n, d, k = 400, 6, 3
+    x = (rng.random((n, d)) < 0.4).astype(float)
+    y = np.clip((x @ np.array([2.0, 1.0, -1.0, 0, 0, 0.5]) + rng.logistic(size=n)).round(), 0, k).astype(int)
+
+    def loss(params):
+        w, t = params[:d], np.concatenate([[-40], params[d:], [40]])
+        total = 0.0
+        for row, g in zip(x, y):
+            s = row @ w
+            total -= math.log(1 / (1 + math.exp(s - t[g + 1])) - 1 / (1 + math.exp(s - t[g])))
+        return total / n + toxicity.PENALTY * np.abs(w).sum()
+
+    places = [np.flatnonzero(row) for row in x]
+    i, j = np.repeat(np.arange(n), [len(p) for p in places]), np.concatenate(places)
+    w, theta = toxicity._solve(i, j, n, d, y, k)
+    best = np.concatenate([w, theta])
+    params, size = np.concatenate([np.zeros(d), [-1.0, 0.0, 1.0]]), 1.0
+    here = loss(params)
+    for _ in range(150):  # gradient descent by finite differences, halving the step where it doesn't help
+        slope = np.array([(loss(params + e) - loss(params - e)) / 2e-5 for e in 1e-5 * np.eye(d + k)])
+        while (there := loss(params - size * slope)) >= here and size > 1e-7:
+            size /= 2
+        params, here, size = params - size * slope, min(here, there), size * 1.5
+    assert loss(best) <= here + 1e-4 and np.allclose(best, params, atol=0.12)
+    # the expected severity is the mean of the grades
+    model = toxicity.Model(np.arange(d, dtype=np.uint64), w, theta)
+    p = model.probabilities(x @ w)
+    assert np.allclose(p.sum(axis=1), 1) and abs((p @ np.arange(k + 1)).mean() - y.mean()) < 0.02
+
+
 def brute_topk(rows, k):
     out = []
     fine = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
