@@ -1,56 +1,99 @@
 """Chat formatting: perspective rotation of dialogues with several parties, with DataFrame functions only.
 
 For every participant the dialogue is rendered with that speaker as the assistant and the others as
-named users; spans say which characters the assistant wrote. A long dialogue is rendered in parts, so
-that neither a row nor a task holds an unbounded dialogue; the texts of the parts, in order, are the
-dialogue.
+named users; spans say which characters the assistant wrote. A dialogue is one text, or, where the caller
+asks for parts, one text for each so many turns: then neither a row nor a task holds a whole dialogue, and
+the texts of the parts, in order, are the dialogue.
+
+Texts and names can't forge a turn: a `<` and a `|`, with nothing or only backslashes between them, get one
+backslash more between them, which unescaped() takes away again; control characters and line breaks of a
+name become a blank.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialise
 
-#: A part holds the turns whose numbers share the quotient by this.
-PART_TURNS = 256
 #: Roles that take no part: they are rendered under their own name from every perspective.
 PASSIVE = ("system",)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: What a name can't hold.
+BREAKS = r"[\x00-\x1F\x7F\x{85}\x{2028}\x{2029}]+"
+
+
+def escaped(text: Column) -> Column:
+    """The text without the beginning of a mark."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    """What escaped() made the text from."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
 def _head(role: Column, perspective: Column, passive: tuple[str, ...]) -> Column:
     """What stands ahead of a turn's text."""
+    shown = escaped(F.regexp_replace(role, BREAKS, " "))
     name = (
         F.when(role.isNull(), F.lit("user"))
         .when(role == perspective, F.lit("assistant"))
-        .when(role.isin(*passive) if passive else F.lit(False), role)
-        .otherwise(F.concat(F.lit("user name="), role))
+        .when(role.isin(*passive) if passive else F.lit(False), shown)
+        .otherwise(F.concat(F.lit("user name="), shown))
     )
     return F.concat(F.lit(OPEN), name, F.lit("\n"))
 
 
-def rotate(turns: DataFrame, passive: tuple[str, ...] = PASSIVE) -> DataFrame:
-    """conv_id, perspective, part, text, spans, n_turns, n_own: one row for each conversation, each of its
-    participants and each part.
+def _numbered(rows: DataFrame, part_turns: int) -> DataFrame:
+    """rows with place, which orders the turns of a conversation, and part.
+
+    Rows are dealt out by range of their order, so that a dialogue of any size, and turns with one number
+    or none, spread over tasks; a turn's rank is its place in its range and the dialogue's turns in the
+    ranges before, of which there is one number for each range and dialogue."""
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text"), F.col("k")]
+    held = rows.withColumn("k", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    held = materialise(held.select("conv_id", "role", "text", F.monotonically_increasing_id().alias("place")), "turns")
+    held = held.withColumn("range", F.shiftright("place", 33))
+    edges = held.groupBy("conv_id", "range").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    rank = F.col("place") - F.col("first") + F.col("ahead")
+    return held.join(edges, ["conv_id", "range"]).select("conv_id", F.floor(rank / part_turns).cast("long").alias("part"), "place", "role", "text")
+
+
+def rotate(turns: DataFrame, passive: tuple[str, ...] = PASSIVE, part_turns: int | None = None) -> DataFrame:
+    """conv_id, perspective, part, text, spans, n_turns, n_own: one row for each conversation and each of
+    its participants, and if part_turns is given, for each part of so many turns.
 
-    Turns are in order of (turn, role, text); repeated rows are rendered as often as they occur. spans is
-    an array of (start, end) in code points of the part's text, end not included: the assistant's texts
-    with the mark that closes them. A null text is empty; a null role is an unnamed user and no
-    participant; null turns come last, in a part of their own (part null). Rows without a conv_id belong
-    to no dialogue; a dialogue with passive roles only has no perspective. Other columns are ignored."""
-    rows = turns.where(F.col("conv_id").isNotNull()).select("conv_id", F.floor(F.col("turn") / PART_TURNS).cast("long").alias("part"), F.struct(F.col("turn"), F.col("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    speakers = turns.where(F.col("conv_id").isNotNull() & F.col("role").isNotNull() & ~(F.col("role").isin(*passive) if passive else F.lit(False)))
+    Turns are in order of (turn, role, text), null turns last, null roles first; repeated rows are rendered
+    as often as they occur. part counts from 0. spans is an array of (start, end) in code points of the
+    row's text, end not included: the assistant's texts with the mark that closes them. A null text is
+    empty; a null role is an unnamed user and no participant. Rows without a conv_id belong to no
+    dialogue; a dialogue with passive roles only has no perspective. Texts of any length are rendered
+    whole. Other columns are ignored."""
+    rows = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    if part_turns is None:
+        numbered = rows.select("conv_id", F.lit(0).cast("long").alias("part"), F.struct(F.col("turn").isNull().alias("last"), "turn").alias("place"), "role", "text")
+    else:
+        numbered = _numbered(rows, part_turns)
+    parts = numbered.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+    if part_turns is not None:
+        parts = materialise(parts, "parts")
+    speakers = rows.where(F.col("role").isNotNull() & ~(F.col("role").isin(*passive) if passive else F.lit(False)))
     speakers = speakers.select("conv_id", F.col("role").alias("perspective")).distinct()
-    both = parts.join(speakers, "conv_id")
+    # perspectives meet the numbers of the parts, then each part its texts: one dialogue isn't one task's
+    both = parts if part_turns is None else parts.select("conv_id", "part")
+    both = both.join(speakers, "conv_id")
+    if part_turns is not None:
+        both = both.join(parts, ["conv_id", "part"])
     me = F.col("perspective")
 
     def segment(t: Column) -> Column:
         head = _head(t["role"], me, passive)
         own = F.coalesce(t["role"] == me, F.lit(False))
-        return F.struct(F.concat(head, t["text"], F.lit(CLOSE)).alias("s"), F.char_length(head).alias("h"), own.alias("own"))
+        return F.struct(F.concat(head, escaped(t["text"]), F.lit(CLOSE)).alias("s"), F.char_length(head).alias("h"), own.alias("own"))
 
     def render(segments: Column) -> Column:
         begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
