@@ -1,12 +1,15 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts of all training texts are taken on the executors, added up in blocks of features, and come
-to the driver as one matrix of at most (languages x n_features) numbers; its log-probabilities are
-broadcast and batches of texts are scored in numpy.
+Counts of all training texts are taken on the executors and added up in blocks of features. They come to
+the driver as a matrix of log-probabilities for at most LANGUAGES languages at a time, which is broadcast;
+batches of texts are scored in numpy. More languages are scored one matrix after the other, carrying the
+best language so far and the sum of all likelihoods.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +19,9 @@ from .common import materialise, row_sums, text_parts
 
 #: Size of the hashed feature space, and of the blocks in which counts are added up.
 N_FEATURES, BLOCK = 1 << 16, 1 << 12
-#: The matrix that is broadcast has N_FEATURES x languages 4-byte numbers; more languages than this are refused.
-MOST_LANGUAGES = 1024
+#: Languages of one matrix (N_FEATURES x LANGUAGES 4-byte numbers are broadcast), and those that a task
+#: counts before it hands its counts on.
+LANGUAGES, HELD = 128, 32
 SMOOTHING = 0.5
 _PART = 2 << 20
 _chars: list[np.ndarray] = []
@@ -74,9 +78,23 @@ def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _count(batches):
-    """Counts of each language in this task, a row for each block of features that has any."""
+    """Counts of each language in this task, a row for each block of features. A task with many languages
+    hands its counts on in several batches."""
     held: dict[str, np.ndarray] = {}
     texts: dict[str, int] = {}
+
+    def flush():
+        names, blocks, counts, seen = [], [], [], []
+        for name, sums in held.items():
+            for b in range(N_FEATURES // BLOCK):
+                names.append(name)
+                blocks.append(b)
+                counts.append(sums[b * BLOCK : (b + 1) * BLOCK].astype("<i8").tobytes())
+                seen.append(texts[name])
+        held.clear()
+        texts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(blocks, pa.int32()), pa.array(counts, pa.binary()), pa.array(seen, pa.int64())], ["lang", "block", "counts", "texts"])
+
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), object)
         for at, n, raw, offs in text_parts(batch.column(0), _PART):
@@ -86,14 +104,9 @@ def _count(batches):
             for k, name in enumerate(names):
                 held[name] = held.get(name, 0) + np.bincount(feats[lang_of == k], minlength=N_FEATURES)
                 texts[name] = texts.get(name, 0) + int((has & (of == k)).sum())
-    names, blocks, counts, seen = [], [], [], []
-    for name, sums in held.items():
-        for b in range(N_FEATURES // BLOCK):
-            names.append(name)
-            blocks.append(b)
-            counts.append(sums[b * BLOCK : (b + 1) * BLOCK].astype("<i8").tobytes())
-            seen.append(texts[name])
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(blocks, pa.int32()), pa.array(counts, pa.binary()), pa.array(seen, pa.int64())], ["lang", "block", "counts", "texts"])
+                if len(held) >= HELD:
+                    yield flush()
+    yield flush()
 
 
 def _add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -104,63 +117,93 @@ def _add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "block": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary()), "texts": pa.array([sum(rows.column("texts").to_pylist())], pa.int64())})
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Learn from all rows that have a language and a letter. Returns the languages in order of code
-    points and a matrix: log-probability of each feature, with the log prior in the last row."""
+@dataclass
+class Model:
+    """The sums of the counts as a table (lang, block, counts, texts), the number of languages, and the
+    texts of all."""
+
+    sums: DataFrame
+    languages: int
+    texts: int
+
+    def matrices(self):
+        """For LANGUAGES languages after the other, in order of code points: their names and a matrix with
+        the log-probability of each feature, and the log prior in the last row."""
+        last = None
+        for _ in range(0, self.languages, LANGUAGES):
+            rows = self.sums if last is None else self.sums.where(F.col("lang") > last)
+            names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(LANGUAGES).collect()]
+            last = names[-1]
+            counts, texts = {n: np.zeros(N_FEATURES) for n in names}, {}
+            for x in rows.where(F.col("lang") <= last).collect():
+                counts[x["lang"]][x["block"] * BLOCK : (x["block"] + 1) * BLOCK] = np.frombuffer(bytes(x["counts"]), "<i8")
+                texts[x["lang"]] = x["texts"]
+            out = np.zeros((N_FEATURES + 1, len(names)), np.float32)
+            for k, name in enumerate(names):
+                out[:-1, k] = np.log(counts[name] + SMOOTHING) - np.log(counts[name].sum() + SMOOTHING * N_FEATURES)
+                out[-1, k] = np.log(texts[name] / self.texts)
+            yield names, out
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """Learn from all rows that have a language and a letter."""
     schema = "lang string, block int, counts binary, texts long"
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
     sums = materialise(rows.mapInArrow(_count, schema).groupBy("lang", "block").applyInArrow(_add, schema).where("texts > 0"), "counts")
-    if sums.select("lang").distinct().count() > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    counts, texts = {}, {}
-    for x in sums.collect():
-        counts.setdefault(x["lang"], np.zeros(N_FEATURES))[x["block"] * BLOCK : (x["block"] + 1) * BLOCK] = np.frombuffer(bytes(x["counts"]), "<i8")
-        texts[x["lang"]] = x["texts"]
-    names = sorted(counts)
-    out = np.zeros((N_FEATURES + 1, len(names)), np.float32)
-    for k, name in enumerate(names):
-        out[:-1, k] = np.log(counts[name] + SMOOTHING) - np.log(counts[name].sum() + SMOOTHING * N_FEATURES)
-        out[-1, k] = np.log(texts[name] / sum(texts.values()))
-    return names, out
-
-
-def score(raw: np.ndarray, offs: np.ndarray, names: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text of a part."""
+    n, texts = sums.where("block = 0").agg(F.count(F.lit(1)), F.sum("texts")).first()
+    return Model(sums, n, texts or 0)
+
+
+def score(raw: np.ndarray, offs: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text of a part: the place of its best language, that one's tempered log-likelihood, the sum
+    of all likelihoods as multiples of the best one's, and whether the text has a letter."""
     feats, bounds, has = features(raw, offs)
-    n = len(offs) - 1
-    if not names:
-        return ["und"] * n, np.zeros(n)
-    total = np.empty((n, len(names)))
-    for k in range(len(names)):
+    total = np.empty((len(offs) - 1, matrix.shape[1]))
+    for k in range(matrix.shape[1]):
         total[:, k] = row_sums(np.ascontiguousarray(matrix[:, k])[feats].astype(np.float64), bounds) + matrix[-1, k]
     # neighbouring n-grams aren't independent: the root of their number tempers the posterior
     total /= np.sqrt(np.maximum(1, np.diff(bounds)))[:, None]
-    total -= total.max(axis=1, keepdims=True)
-    weight = np.exp(total)
     best = total.argmax(axis=1)
-    score = weight[np.arange(n), best] / weight.sum(axis=1)
-    return [names[b] if h else "und" for b, h in zip(best, has)], np.where(has, score, 0.0)
+    top = total[np.arange(len(best)), best]
+    return best, top, np.exp(total - top[:, None]).sum(axis=1), has
 
 
-def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns of `keep`, lang_pred and score (0 to 1) of every text.
-
-    A text that is null, empty or without a letter is `und` with score 0, and so is each text where
-    nothing was learned. Ties go to the language first in order. Repeated rows and null ids are
-    scored as any other row; other columns of docs are ignored."""
-    model = docs.sparkSession.sparkContext.broadcast((names, matrix))
-    frame = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
+def _step(model, at: int, c: int):
+    """Score column `at` against one matrix; the last three of the c columns hold the best language so
+    far, its log-likelihood, and the sum of likelihoods."""
 
     def run(batches):
-        known, weights = model.value
+        names, matrix = model.value
         for batch in batches:
-            for at, n, raw, offs in text_parts(batch.column(len(keep)), _PART):
-                langs, scores = score(raw, offs, known, weights)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, n) for i in range(len(keep))], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*[f"_k{i}" for i in range(len(keep))], "lang_pred", "score"])
+            for first, n, raw, offs in text_parts(batch.column(at), _PART):
+                best, top, total, has = score(raw, offs, matrix)
+                old = batch.column(c - 3).slice(first, n).to_pylist()
+                old_top = np.nan_to_num(batch.column(c - 2).slice(first, n).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+                old_total = np.nan_to_num(batch.column(c - 1).slice(first, n).to_numpy(zero_copy_only=False).astype(float), nan=0.0)
+                new = np.maximum(top, old_top)
+                total = total * np.exp(top - new) + old_total * np.exp(old_top - new)
+                langs = [(names[b] if x > y else o) if h else None for b, x, y, o, h in zip(best, top, old_top, old, has)]
+                kept = [batch.column(i).slice(first, n) for i in range(c - 3)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(new), pa.array(total)], batch.schema.names)
+
+    return run
 
-    schema = ", ".join(f"_k{i} {frame.schema[i].dataType.simpleString()}" for i in range(len(keep)))
-    out = frame.mapInArrow(run, f"{schema}, lang_pred string, score double")
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns of `keep`, lang_pred and score (0 to 1) of every text.
+
+    A text that is null, empty or without a letter is `und` with score 0, and so is each text where
+    nothing was learned. Ties go to the language first in order. Texts of any length are read whole.
+    Repeated rows and null ids are scored as any other row; other columns of docs are ignored."""
+    c = len(keep)
+    state = docs.select(*[F.col(f"`{x}`").alias(f"k{i}") for i, x in enumerate(keep)], F.col(text).alias("t"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("total"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
+    for i, found in enumerate(model.matrices()):
+        if i:  # the texts go through once more for each further matrix
+            state = materialise(state, "scores")
+        state = state.mapInArrow(_step(docs.sparkSession.sparkContext.broadcast(found), c, c + 4), schema)
+    known = F.col("lang").isNotNull()
+    return state.select(*[F.col(f"k{i}").alias(x) for i, x in enumerate(keep)], F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.when(known, 1 / F.col("total")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -169,5 +212,4 @@ def identify(docs: DataFrame) -> DataFrame:
     not held out."""
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4) == 2
     base = docs.select("doc_id", "text", "lang", held.alias("held_out"))
-    names, matrix = train(base.where(~F.col("held_out")))
-    return predict(base, names, matrix, ("doc_id", "held_out"))
+    return predict(base, train(base.where(~F.col("held_out"))), ("doc_id", "held_out"))
