@@ -3,7 +3,8 @@
 Every document gets a hash-random key. Within each source documents are ordered by key; the key range
 is split into equal sub-ranges so that a source of any size spreads over many tasks, sums of the
 sub-ranges give distributed prefix sums of the sizes, and the source is cut at its exact budget after
-as many whole epochs as the budget holds.
+as many whole epochs as the budget holds. What meets in one window is a range of keys, a range of
+ranges, or the sources themselves, one row for each.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ ROWS_PER_RANGE = 256
 KEY_BITS = 52
 
 
-def random_key(doc_id: Column) -> Column:
-    """A number of 52 bits from the md5 of the id as text; null counts as an empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+def random_key(doc_id: Column, text: Column) -> Column:
+    """A number of 52 bits from the md5 of the id as text, a colon and the text; nulls count as empty. So
+    rows without an id, or with one id, have keys of their own unless their texts are equal too."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
@@ -59,9 +62,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     `carry`.
 
     The sum of `taken` over a source is its target rounded down. Null or empty texts have size 0 and
-    take 0. A null source is a source of its own, last in order. Equal keys (repeated or null ids) are
-    ordered by size; rows that are equal in both are interchangeable. No row is dropped."""
-    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), random_key(F.col("doc_id")).alias("_key"), *carry)
+    take 0. A null source is a source of its own, last in order. Null and repeated ids are taken as others
+    are; rows that are equal in id and text have one key and are interchangeable. No row is dropped."""
+    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text")).alias("_key"), *carry)
     if not carry:  # a few numbers for each document, made once; with whole rows they are made twice rather than written
         rows = materialise(rows, "sizes")
     # as many sub-ranges as the table's rows ask for, the same on each run
