@@ -43,7 +43,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from the perspective of each of its participants."""
-    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    out = chat.rotate(table(spark, sf_dir, "conversations"), part_turns=256)
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.withColumn("spans", spans)
 
@@ -76,23 +76,25 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat, op2_toxicity, op3
 
 _SPACE = r"\x20\x09-\x0D"
 
-_CHAT = """
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CAST(floor(turn / 256) AS BIGINT) AS part FROM conversations WHERE conv_id IS NOT NULL),
+_CHAT = r"""
+WITH n AS (SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, coalesce(text, '')) - 1 AS r FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, role, r, CAST(r // 256 AS BIGINT) AS part, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS text,
+  regexp_replace(regexp_replace(role, '[\x00-\x1F\x7F\x{85}\x{2028}\x{2029}]+', ' ', 'g'), '<(\\*)\|', '<\\\1|', 'g') AS name FROM n),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL AND role <> 'system'),
-s AS (SELECT conv_id, perspective, part, turn, role, text, coalesce(role = perspective, false) AS own,
-  '<|im_start|>' || CASE WHEN role IS NULL THEN 'user' WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head
+s AS (SELECT conv_id, perspective, part, r, text, coalesce(role = perspective, false) AS own,
+  '<|im_start|>' || CASE WHEN role IS NULL THEN 'user' WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN name ELSE 'user name=' || name END || chr(10) AS head
   FROM t JOIN p USING (conv_id)),
 m AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS s,
-  coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM s)
-SELECT conv_id, perspective, part, string_agg(s, '' ORDER BY place) AS text,
-  coalesce(string_agg(CASE WHEN own THEN CAST(CAST(place AS BIGINT) + length(head) AS VARCHAR) || '-' || CAST(CAST(place AS BIGINT) + length(s) - 1 AS VARCHAR) END, ',' ORDER BY place), '') AS spans,
+  coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, part ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM s)
+SELECT conv_id, perspective, part, string_agg(s, '' ORDER BY r) AS text,
+  coalesce(string_agg(CASE WHEN own THEN CAST(CAST(place AS BIGINT) + length(head) AS VARCHAR) || '-' || CAST(CAST(place AS BIGINT) + length(s) - 1 AS VARCHAR) END, ',' ORDER BY r), '') AS spans,
   count(*) AS n_turns, count(CASE WHEN own THEN 1 END) AS n_own
 FROM m GROUP BY conv_id, perspective, part
 """
 
 _MIX = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+')) AS BIGINT) AS size,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS key FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM d GROUP BY source),
 r AS (SELECT *, 2.0::DOUBLE * source_size AS bound, 2.0::DOUBLE * source_size / w AS ratio FROM s),
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - coalesce(sum(bound) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -148,10 +150,12 @@ def _license_sql() -> str:
         plain = f"replace({plain}, '{a}', '{b}')"
     form = f"lambda x: CASE WHEN regexp_matches(lower(x), '{licenses.COPYRIGHT_LINE}') THEN '' ELSE {plain} END"
     lines = lambda text: f"list_transform(string_split({text}, chr(10)), {form})"
-    whole = "array_to_string(list_filter(l, lambda x: x <> ''), ' ')"
-    known = ", ".join("('{}', '{}')".format(name, t.replace("'", "''")) for name, texts in licenses.KNOWN.items() for t in texts)
+    titles = ", ".join(f"'{t}'" for t in ["", *licenses._titles()])
+    whole = f"array_to_string(list_filter(l, lambda x: x NOT IN ({titles})), ' ')"
+    known = ", ".join("('{}', '{}')".format(name, t.replace("'", "''").replace("\n", "' || chr(10) || '")) for name, t in licenses.known_texts())
+    digests = ", ".join(f"('{name}', '{d}')" for name, (_, d) in licenses.DIGESTS.items())
     return f"""
-WITH k AS (SELECT DISTINCT license, sha256({whole}) AS digest FROM (SELECT license, {lines("t")} AS l FROM (VALUES {known}) AS x(license, t))),
+WITH k AS (SELECT DISTINCT license, sha256({whole}) AS digest FROM (SELECT license, {lines("t")} AS l FROM (VALUES {known}) AS x(license, t)) UNION SELECT * FROM (VALUES {digests}) AS y(license, digest)),
 d AS (SELECT doc_id, {lines("coalesce(text, '')")} AS l FROM documents),
 u AS (SELECT doc_id, 'text' AS unit, CAST(NULL AS BIGINT) AS line, {whole} AS c FROM d UNION ALL SELECT doc_id, 'line', CAST(i - 1 AS BIGINT), l[i] FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d))
 SELECT doc_id, unit, line, license, digest FROM (SELECT *, sha256(c) AS digest FROM u) JOIN k USING (digest)
