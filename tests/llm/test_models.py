@@ -249,18 +249,47 @@ def test_topk_against_brute_force(spark, monkeypatch):
 
 
 def test_bounds_eliminate():
+    """Results are exact for each kind of number, and most pairs of vectors with few strong directions aren't evaluated."""
     rng = np.random.default_rng(5)
-    x = rng.integers(-100, 100, (500, 8)).astype(np.int64)
-    ids = np.arange(500)
-    dist = np.sqrt(((x[:, None, :] - x[None, :6, :]) ** 2).sum(axis=2).astype(float))
-    for scale in (1, 10**4, 10**7):  # each kind of number
+    x = (rng.normal(size=(2000, 64)) * 200 * 0.8 ** np.arange(64)).astype(np.int64)
+    ids = np.arange(len(x))
+    for scale in (1, 10**3, 10**6):
         y = x * scale
-        got = topk.best_of(y[:20], y, dist[:20] * scale, dist * scale, ids[:20], ids, 3)
-        s = y @ y.T
-        for i, (q, c, score) in enumerate(got):
-            order = np.lexsort((ids, -s[i]))
-            order = order[order != i][:3]
-            assert c.tolist() == order.tolist() and score.tolist() == s[i][order].tolist()
+        at = topk.Pivots(y[100:124].tolist()).place(y)[0]
+        got, evaluated = topk.best_of(y[:20], y, at[:20], at, ids[:20], ids, 3, np.full(20, -np.inf))
+        assert evaluated < 0.25 * 20 * len(y)
+        s = y[:20].astype(object) @ y.T.astype(object)
+        for i, (_, c, score) in enumerate(got):
+            order = sorted((j for j in range(len(y)) if j != i), key=lambda j: (-s[i, j], j))[:3]
+            assert c.tolist() == order and score.tolist() == [s[i, j] for j in order]
+    # points of the table bound every product
+    at = topk.Pivots(x[:30].tolist()).place(x)[0]
+    assert (at[:50] @ at.T + 1e-3 >= x[:50].astype(float) @ x.T.astype(float)).all()
+
+
+def test_cells_that_can_not_hold_a_result_are_not_visited(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 16)) * 4000
+    x = [(int(i), [int(v) for v in centres[i % 6] + 20 * rng.normal(size=16)]) for i in range(900)]
+    asked, meet = [], topk._meet
+    monkeypatch.setattr(topk, "_meet", lambda left, right, k: asked.append(left.count()) or meet(left, right, k))
+    got = [tuple(r) for r in topk.search(spark.createDataFrame(x, "vec_id long, v array<bigint>"), F.col("vec_id") % 50 == 0, pivots=24).collect()]
+    m = np.array([v for _, v in x])
+    want = []
+    for q in range(0, 900, 50):
+        order = sorted((j for j in range(900) if j != q), key=lambda j: (-int(m[q] @ m[j]), j))[:5]
+        want += [(q, r + 1, j, int(m[q] @ m[j])) for r, j in enumerate(order)]
+    assert sorted(got) == want and asked[0] == 18 and asked[1] < 0.5 * 18 * 23
+
+
+def test_scores_that_do_not_fit_raise(spark):
+    big = spark.createDataFrame([(0, [2**62, 0]), (1, [3, 1]), (2, [-(2**62), 5])], "vec_id long, v array<bigint>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(big, F.col("vec_id") == 0, k=1).collect()
+    fine = spark.createDataFrame([(0, [2**61, 0]), (1, [3, 1]), (2, [-(2**62), 5])], "vec_id long, v array<bigint>")
+    assert [tuple(r) for r in topk.search(fine, F.col("vec_id") == 0, k=1).collect()] == [(0, 1, 1, 3 * 2**61)]
+    with pytest.raises(Exception, match="64 bits"):
+        spark.createDataFrame([([1e30, 1.0],)], "v array<double>").select(topk.quantised(F.col("v"))).collect()
 
 
 def encode(texts):
