@@ -37,6 +37,10 @@ class Files:
         """Bytes below a path."""
         return self._fs.getContentSummary(self._path(path)).getLength() if self.exists(path) else 0
 
+    def modified(self, path: str) -> float:
+        """Seconds since the epoch of the last change."""
+        return self._fs.getFileStatus(self._path(path)).getModificationTime() / 1000
+
     def read(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
         try:

@@ -9,15 +9,18 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else the context's checkpoint folder, else (as in tests, on one machine) a
-    temporary one of our own."""
+    """spark.checkpoint.dir of the session, else the context's checkpoint folder. Without either, a session
+    that runs on this machine alone gets a temporary one; on a cluster that raises, as executors would
+    write to places of their own."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="keystead-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

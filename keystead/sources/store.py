@@ -6,11 +6,17 @@ import os
 import time
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ..naming import identity, path_name
+from . import jdbc
 from .files import Files
-from .snapshot import Snapshots
+from .snapshot import FILE_BYTES, KEEP_SECONDS, Snapshots
+
+#: Gateways of the processes that this one was forked from: what goes through them is theirs.
+_inherited: list = []
+os.register_at_fork(after_in_child=lambda: _inherited.append(SparkContext._gateway))
 
 _hook: list[Callable[[], None] | None] = [None]
 INFO_SCHEMA = "table_name string, nrow long, size_total_gb double, size_data_gb double, size_index_gb double"
@@ -32,14 +38,16 @@ def get_auth_hook() -> Callable[[], None] | None:
 
 class Store:
     """A session and a root folder. Making one opens nothing; connect() does, and the session stays its
-    owner's: disconnect() never stops it. Settings of database servers are kept for callers that pass
-    them and mean nothing here."""
+    owner's: disconnect() never stops it. Versions of tables stay for keep_seconds after they are replaced,
+    and tables are laid out in files of about file_bytes. Tables lie in the folder; settings of a database
+    server are those of server_tbl() and copy_to_server()."""
 
-    def __init__(self, spark: SparkSession | None = None, root: str = "", schema: str | None = None, **settings):
+    def __init__(self, spark: SparkSession | None = None, root: str = "", schema: str | None = None, keep_seconds: float = KEEP_SECONDS, file_bytes: int = FILE_BYTES, **settings):
         unknown = set(settings) - set(SETTINGS)
         if unknown:
             raise TypeError(f"unknown settings: {', '.join(sorted(unknown))}")
         self.config = {k: settings.get(k) for k in SETTINGS} | {"schema": schema, "root": root}
+        self.keep_seconds, self.file_bytes = keep_seconds, file_bytes
         self._spark = spark
         self._files: Files | None = None
         self._pid: int | None = None
@@ -60,6 +68,8 @@ class Store:
         found = self._spark or SparkSession.getActiveSession()
         if found is None:
             raise RuntimeError("no session")
+        if any(g is not None and g is found.sparkContext._gateway for g in _inherited):
+            raise RuntimeError("the session belongs to the process that forked this one; make one here")
         return found
 
     def _park_inherited(self) -> None:
@@ -132,7 +142,7 @@ class Store:
     def snapshots(self, table: str | tuple[str, ...]) -> Snapshots:
         parts = identity(table)
         name = path_name(table) if isinstance(table, str) else "+".join(map(path_name, parts))
-        return Snapshots(self.spark, self.autoconnection, f"{self.folder()}/{name}")
+        return Snapshots(self.spark, self.autoconnection, f"{self.folder()}/{name}", self.keep_seconds, self.file_bytes)
 
     def manifests(self) -> list:
         """The newest manifest of every table, by name."""
@@ -146,6 +156,16 @@ class Store:
         rows = [(".".join(m.identity), m.rows, m.bytes / 2**30, m.bytes / 2**30, 0.0) for m in self.manifests()]
         return self.spark.createDataFrame(rows, INFO_SCHEMA)
 
+    # --- servers
+
+    def server_tbl(self, table: str, **how) -> DataFrame:
+        """A table of the server that the settings name, as a lazy DataFrame (see jdbc.read_server)."""
+        return jdbc.read_server(self.spark, self.config, table, **how)
+
+    def copy_to_server(self, df: DataFrame, table: str, **how) -> None:
+        """Rows into a table of the server that the settings name (see jdbc.write_server)."""
+        jdbc.write_server(df, self.config, table, **how)
+
     def __repr__(self) -> str:
         state = "connected" if self.is_connected() else "disconnected"
         shown = {k: "*" * len(v) if k == "password" and v else v for k, v in self.config.items() if v is not None}

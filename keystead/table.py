@@ -1,7 +1,8 @@
 """A declared table: ordered typed columns, a primary key, named indexes and two validators.
 
 Every change goes through the validators and the key rules and is committed as one version, so a failed
-write leaves the table as it was; also the reloads that empty the table first are atomic.
+write leaves the table as it was; also the reloads that empty the table first are atomic. New rows are
+written once, and what is validated, checked and committed is that copy.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions.transforms import project, scrub_non_finite
 from .functions.validators import Validator, field_contents_blank, field_types_blank
@@ -19,7 +21,7 @@ from .sources.snapshot import Manifest, Segment
 from .sources.store import Store
 from .types import schema_of, with_length, without_length
 
-_SEGMENT = "_segment"
+_FILE = "_file"
 
 
 class Table:
@@ -70,12 +72,15 @@ class Table:
         return self._snapshots().newest() is not None
 
     def check_fields_match(self) -> bool:
-        """The columns of the stored table are the declared ones, names and order."""
-        return list(self._newest().field_types) == list(self.field_types)
+        """The columns of the stored table are the declared ones, names and order. Prints both if not."""
+        live, own = list(self._newest().field_types), list(self.field_types)
+        if live != own:
+            print(f"fields in {self.name}: {', '.join(live)}\nfields declared: {', '.join(own)}")
+        return live == own
 
     def create_table(self) -> None:
-        """Create the table unless it is there with the declared columns; with others it is dropped and
-        made anew, without rows. Unknown types raise before anything is written."""
+        """Create the table unless it is there with the declared columns; with others the next version has
+        the declared ones and no rows. Unknown types raise before anything is written."""
         schema_of(self.field_types, self.keys)
         shots = self._snapshots()
         old = shots.newest()
@@ -84,9 +89,7 @@ class Table:
             return
         if unknown := [k for k in self.keys if k not in self.field_types]:
             raise ValueError(f"keys that are not fields: {', '.join(unknown)}")
-        if old is not None:
-            shots.remove()
-        shots.commit(None, Manifest(0, self.identity, self.field_types, tuple(self.keys)))
+        shots.commit(old, Manifest(0, self.identity, self.field_types, tuple(self.keys)))
         self._created = True
         self.add_indexes()
 
@@ -147,11 +150,33 @@ class Table:
             data = censor(data)
         return data
 
-    def _stage(self, data: DataFrame, schema=None) -> Segment | None:
-        """Write the declared columns once. What is checked and committed is this copy, so a source that
-        would give other rows on a second reading can't slip past the checks."""
-        layout = next(iter(self.indexes.values()), self.keys)
-        return self._snapshots().stage(scrub_non_finite(project(data, schema or self.schema)), [quoted(c) for c in layout if c in self.field_types], next((k for k in self.keys if k in self.field_types), None))
+    def _copy(self, data: DataFrame) -> tuple[Segment | None, DataFrame]:
+        """data, all columns, written as it is, and read from there."""
+        for f in data.schema.fields:
+            if isinstance(f.dataType, T.NullType):
+                data = data.withColumn(f.name, F.col(quoted(f.name)).cast("string"))
+        shots = self._snapshots()
+        raw = shots.stage(data)
+        return raw, self.store.spark.read.schema(data.schema).parquet(shots.path(raw)) if raw else self.store.spark.createDataFrame([], data.schema)
+
+    def _stage(self, data: DataFrame, by_range: bool = False) -> Segment | None:
+        """Write the declared columns as a segment; None without rows."""
+        layout = [c for c in next(iter(self.indexes.values()), self.keys) if c in self.field_types]
+        return self._snapshots().stage(scrub_non_finite(project(data, self.schema)), [quoted(c) for c in layout], [k for k in self.keys if k in self.field_types], by_range)
+
+    def _take(self, data: DataFrame, last: list[str | Column] | None = None) -> Segment | None:
+        """New rows, validated, as a segment; None without rows, before validation. data is read once: a
+        validator, and the choice of the last of equal keys, read a copy with all its columns."""
+        if self.validator_field_contents is field_contents_blank and last is None:
+            return self._stage(data)
+        raw, copy = self._copy(data)
+        try:
+            if raw is None:
+                return None
+            self._validate(copy)
+            return self._stage(copy if last is None else dml.last_wins(copy, self.keys, last))
+        finally:
+            self._snapshots().discard(raw)
 
     def _check_keys(self, rows: DataFrame, base: DataFrame | None) -> None:
         """Keys of rows aren't null, don't repeat, and don't occur in base."""
@@ -168,29 +193,26 @@ class Table:
 
     def insert_data(self, newdata, confirm_insert_via_nrow: bool = False, verbose: bool = True) -> None:
         """Append rows. None or no rows return before validation; a key that is null, repeated or there
-        already raises. Only the new rows are written, and only segments whose range of the first key
-        meets theirs are read."""
+        already raises. Only the new rows are written, and only files whose range of the first key holds
+        one of theirs are read."""
         self._ensure()
         data = self._frame(newdata)
-        if data is None or data.isEmpty():
+        new = None if data is None else self._take(data)
+        if new is None:
             return
-        self._validate(data)
-        self._insert(data)
-        if confirm_insert_via_nrow:
-            wanted = data.count()
-            if self.nrow(True) < wanted:
-                self.upsert_data(data)
-                if self.nrow(True) < wanted:
-                    raise RuntimeError("Upsert failed")
-
-    def _insert(self, data: DataFrame, replacing: bool = False) -> None:
+        self._insert(new)
+        if confirm_insert_via_nrow and self.nrow(True) < new.rows:
+            shots = self._snapshots()
+            self.upsert_data(shots.read(self._newest(), self.schema, (new,)))
+            if self.nrow(True) < new.rows:
+                raise RuntimeError("Upsert failed")
+
+    def _insert(self, new: Segment | None, replacing: bool = False) -> None:
         shots, old = self._snapshots(), self._newest()
-        new = self._stage(data)
         try:
-            if new is not None:
-                rows = shots.read(old, self.schema, (new,))
-                near = () if replacing else tuple(s for s in old.segments if s.may_share_keys(new))
-                self._check_keys(rows, shots.read(old, self.schema, near) if near else None)
+            if new is not None and self.keys:
+                near = () if replacing else shots.near(old.segments, new, self.schema)
+                self._check_keys(shots.read(old, self.schema, (new,)), shots.read(old, self.schema, near) if near else None)
             kept = () if replacing else old.segments
             shots.commit(old, replace(old, segments=kept + ((new,) if new else ())))
         except Exception:
@@ -201,74 +223,76 @@ class Table:
         """Update rows of equal keys and add the others. None or no rows return before validation.
 
         Repeated keys in newdata raise, or with on_duplicate="last" the last row by order_by counts. Only
-        segments that hold a key of newdata are rewritten. drop_indexes and verbose are accepted and have
-        no effect."""
+        files that hold a key of newdata are rewritten. drop_indexes and verbose are accepted and have no
+        effect."""
         self._ensure()
         data = self._frame(newdata)
-        if data is None or data.isEmpty():
+        if data is None:
             return
-        self._validate(data)
-        self._upsert(data, on_duplicate, order_by)
+        if on_duplicate not in ("raise", "last"):
+            raise ValueError("on_duplicate is raise or last")
+        if on_duplicate == "last" and not order_by:
+            raise ValueError('on_duplicate="last" needs order_by')
+        if on_duplicate == "last":
+            self._check_upsert()
+        new = self._take(data, list(order_by) if on_duplicate == "last" else None)
+        if new is not None:
+            self._upsert(new)
 
-    def _upsert(self, data: DataFrame, on_duplicate: str = "raise", order_by=(), replacing: bool = False) -> None:
+    def _check_upsert(self) -> None:
         if not self.keys:
             raise ValueError("keys is empty")
         if missing := [k for k in self.keys if k not in self.field_types]:
             raise ValueError(f"keys that are not fields: {', '.join(missing)}. Missing from fields")
-        shots, old = self._snapshots(), self._newest()
-        live, own = set(old.field_types), set(self.field_types)
+        live, own = set(self._newest().field_types), set(self.field_types)
         if live != own:
             raise ValueError(f"fields don't match {self.name}. Missing from fields: {sorted(live - own)}. In fields but not the table: {sorted(own - live)}. In the table but not fields: {sorted(live - own)}")
-        if on_duplicate == "last":
-            if not order_by:
-                raise ValueError('on_duplicate="last" needs order_by')
-            data = dml.last_wins(data, self.keys, list(order_by))
-        elif on_duplicate != "raise":
-            raise ValueError("on_duplicate is raise or last")
-        made: list[Segment | None] = [self._stage(data)]
+
+    def _upsert(self, new: Segment | None, replacing: bool = False) -> None:
+        shots, old = self._snapshots(), self._newest()
+        made: list[Segment | None] = [new]
         try:
-            if made[0] is None:
-                if replacing:
-                    shots.commit(old, replace(old, segments=()))
+            self._check_upsert()
+            if new is None:
+                shots.commit(old, replace(old, segments=()))
                 return
-            delta = shots.read(old, self.schema, (made[0],))
+            delta = shots.read(old, self.schema, (new,))
             self._check_keys(delta, None)
             segments = () if replacing else old.segments
-            if segments and set(self.keys) == own:  # nothing to update: only new keys are added
-                base = shots.read(old, self.schema, tuple(s for s in segments if s.may_share_keys(made[0])))
-                added = self._stage(dml.matched(delta, base, self.keys, "left_anti"))
+            near = shots.near(segments, new, self.schema)
+            if near and set(self.keys) == set(self.field_types):  # nothing to update: only new keys are added
+                added = self._stage(dml.matched(delta, shots.read(old, self.schema, near), self.keys, "left_anti"))
                 shots.discard(made.pop())
                 made.append(added)
-                shots.commit(old, replace(old, segments=segments + ((added,) if added else ())))
-                return
-            near = tuple(s for s in segments if s.may_share_keys(made[0]))
-            _, touched = self._touched(old, near, lambda df: dml.matched(df, delta, self.keys, "left_semi"))
-            if touched:
-                made.append(self._stage(dml.matched(shots.read(old, self.schema, touched), delta, self.keys, "left_anti")))
-            kept = tuple(s for s in segments if s not in touched)
-            shots.commit(old, replace(old, segments=kept + tuple(s for s in made[::-1] if s)))
+            else:
+                touched = self._touched(old, near, lambda df: dml.matched(df, delta, self.keys, "left_semi"))
+                if touched:
+                    rows = shots.read(old, self.schema, tuple(s.with_files(touched) for s in near))
+                    made.append(self._stage(dml.matched(rows, delta, self.keys, "left_anti")))
+                    segments = tuple(s.with_files(touched, False) for s in segments)
+            shots.commit(old, replace(old, segments=segments + tuple(s for s in made[::-1] if s)))
         except Exception:
             for s in made:
                 shots.discard(s)
             raise
 
-    def _touched(self, old: Manifest, segments: tuple[Segment, ...], hit) -> tuple[tuple[Segment, ...], tuple[Segment, ...]]:
-        """Segments without and with a row that hit leaves. Their names come to the driver, one for each
-        segment at most."""
+    def _touched(self, old: Manifest, segments: tuple[Segment, ...], hit) -> set[str]:
+        """Files (folder/file) with a row that hit leaves. Their names come to the driver, which has those
+        of all files in the manifest."""
         if not segments:
-            return (), ()
-        shots = self._snapshots()
-        rows = shots.read(old, self.schema, segments).withColumn(_SEGMENT, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-        names = {r[0] for r in hit(rows).select(_SEGMENT).distinct().collect()}
-        return tuple(s for s in segments if s.name not in names), tuple(s for s in segments if s.name in names)
+            return set()
+        rows = self._snapshots().read(old, self.schema, segments).withColumn(_FILE, F.col("_metadata.file_path"))
+        return {"/".join(r[0].split("/")[-2:]) for r in hit(rows).select(_FILE).distinct().collect()}
 
     def _rewrite(self, remove, keep) -> None:
         shots, old = self._snapshots(), self._newest()
-        same, touched = self._touched(old, old.segments, remove)
+        touched = self._touched(old, old.segments, remove)
         if not touched:
             return
-        new = self._stage(keep(shots.read(old, self.schema, touched)))
+        rows = shots.read(old, self.schema, tuple(x for s in old.segments if (x := s.with_files(touched)).files))
+        new = self._stage(keep(rows))
         try:
+            same = tuple(s.with_files(touched, False) for s in old.segments)
             shots.commit(old, replace(old, segments=same + ((new,) if new else ())))
         except Exception:
             shots.discard(new)
@@ -290,38 +314,48 @@ class Table:
         old = self._newest()
         self._snapshots().commit(old, replace(old, segments=()))
 
-    def _check_newdata_before_drop_all_rows(self, newdata, method: str) -> DataFrame:
-        """What a reload has to pass before the table is touched, or even created."""
+    def _replace_all(self, newdata, method: str, load) -> None:
+        """What a reload has to pass before the table is touched, or even created, then the load. The rows
+        that newdata counts have to be those that were copied; the copy is what is validated and loaded."""
         if newdata is None:
             raise ValueError(f"{method}: newdata is NULL")
         if not (isinstance(newdata, DataFrame) or hasattr(newdata, "iloc")):
             raise TypeError(f"{method}: newdata is not a data frame")
         data = self._frame(newdata)
-        first, second = data.count(), data.count()
-        if first != second:
-            raise ValueError(f"{method}: two reads of the row count of newdata differ: {first} and {second}")
-        self._validate(data, exactly=True)
-        return data
+        counted = data.count()
+        raw, copy = self._copy(data)
+        try:
+            if counted != (copied := raw.rows if raw else 0):
+                raise ValueError(f"{method}: two reads of the row count of newdata differ: {counted} and {copied}")
+            self._validate(copy, exactly=True)
+            new = self._stage(copy)
+        finally:
+            self._snapshots().discard(raw)
+        self._ensure()
+        load(new)
 
     def drop_all_rows_and_then_upsert_data(self, newdata, drop_indexes: list[str] | None = None, verbose: bool = True) -> None:
         """Replace all rows, in one commit. No rows that validate empty the table."""
-        data = self._check_newdata_before_drop_all_rows(newdata, "drop_all_rows_and_then_upsert_data")
-        self._ensure()
-        self._upsert(data, replacing=True) if not data.isEmpty() else self.drop_all_rows()
+        self._replace_all(newdata, "drop_all_rows_and_then_upsert_data", lambda new: self._upsert(new, replacing=True) if new else self.drop_all_rows())
 
     def drop_all_rows_and_then_insert_data(self, newdata, confirm_insert_via_nrow: bool = False, verbose: bool = True) -> None:
         """Replace all rows, in one commit. No rows that validate empty the table."""
-        data = self._check_newdata_before_drop_all_rows(newdata, "drop_all_rows_and_then_insert_data")
-        self._ensure()
-        self._insert(data, replacing=True)
+        self._replace_all(newdata, "drop_all_rows_and_then_insert_data", lambda new: self._insert(new, replacing=True))
 
     def compact(self) -> None:
-        """Rewrite all segments as one; rows don't change."""
+        """Rewrite all rows as one segment whose files lie apart by key; rows don't change."""
+        self._ensure()
         shots, old = self._snapshots(), self._newest()
-        if len(old.segments) > 1:
-            new = self._stage(shots.read(old, self.schema))
+        if len(old.segments) > 1 or any(s.overlaps() for s in old.segments):
+            new = self._stage(shots.read(old, self.schema), by_range=True)
             shots.commit(old, replace(old, segments=(new,) if new else ()))
 
+    def vacuum(self, keep_seconds: float | None = None) -> None:
+        """Remove versions that were replaced so long ago, and what failed writers left. Without a number
+        it is the store's."""
+        self._ensure()
+        self._snapshots().vacuum(keep_seconds)
+
     # --- keys and indexes
 
     def add_constraint(self, keys: list[str] | None = None) -> None:
@@ -350,9 +384,10 @@ class Table:
         """Physical names in order of their making."""
         return list(self._newest().indexes)
 
-    def get_index_columns(self, physical: str) -> list[str]:
-        """Columns of an index in its order; none if the table has no such index."""
-        return list(self._newest().indexes.get(physical, ()))
+    def get_index_columns(self, physical: str) -> list[str] | None:
+        """Columns of an index in its order; none if the table has no such index; None if there is no
+        table to ask."""
+        return list(self._newest().indexes.get(physical, ())) if self.table_exists() else None
 
     def _add_index(self, index: str) -> None:
         columns, physical = self.indexes[index], self.index_physical_name(index)
@@ -362,7 +397,10 @@ class Table:
         there = old.indexes.get(physical)
         if there is None:
             self._snapshots().commit(old, replace(old, indexes={**old.indexes, physical: tuple(columns)}))
-        elif not _same(there, columns):
+            there = self.get_index_columns(physical)
+            if not there:
+                raise RuntimeError(f"index {index} ({physical}) is not on table {self.name}")
+        if not _same(there, columns):
             raise ValueError(f"index {index} of {self.name} covers {', '.join(there)}, not {', '.join(columns)}")
 
     def add_indexes(self) -> None:

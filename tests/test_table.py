@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from keystead.functions.validators import ValidationResult
 from keystead.operators import dml
+from keystead.sources import jdbc
 from keystead.sources import store as stores
 from keystead.sources.snapshot import Snapshots
 from keystead.sources.store import Store, get_auth_hook, get_table_names_and_info, set_auth_hook
@@ -292,11 +293,145 @@ def test_two_writers_cannot_commit_one_version(spark, abc):
     assert rows(abc) == [("x", 1, 1.0)]
 
 
-def test_old_versions_go(spark, abc):
-    for i in range(6):
+def test_old_versions_go_by_age(spark, abc):
+    abc.upsert_data(frame(spark, [("x", 1, 0.0), ("y", 2, 0.0)]))
+    reader = abc.tbl()
+    for i in range(10):
         abc.upsert_data(frame(spark, [("x", 1, float(i))]))
+    abc.drop_indexes()
+    assert sorted(tuple(r) for r in reader.collect()) == [("x", 1, 0.0), ("y", 2, 0.0)]  # ten commits later
     files, folder = abc.store.autoconnection, abc._snapshots().folder
-    assert len(files.names(f"{folder}/manifests")) == 3 and len(files.names(f"{folder}/data")) <= 3
+    before = rows(abc)
+    abc._snapshots().stage(frame(spark, [("left", 1, 1.0)]))  # by a writer that failed
+    abc.vacuum(3600)
+    assert len(files.names(f"{folder}/manifests")) > 10
+    abc.vacuum(0)
+    assert len(files.names(f"{folder}/manifests")) == 1 and rows(abc) == before == [("x", 1, 9.0), ("y", 2, 0.0)]
+    assert set(files.names(f"{folder}/data")) == {s.name for s in abc._newest().segments}
+
+
+def test_a_key_touches_one_file(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "files"), file_bytes=20_000)
+    t = Table(store, "t", {"k": "INTEGER", "v": "TEXT"}, ["k"])
+    t.insert_data(spark.range(20_000).selectExpr("id * 7919 % 20000 as k", "uuid() as v"))
+    t.compact()
+    before = t._newest().segments
+    assert len(before) == 1 and len(before[0].files) > 5 and not before[0].overlaps()
+    read, real = [], Snapshots.read
+    monkeypatch.setattr(Snapshots, "read", lambda self, m, schema, segments=None: read.extend(segments or ()) or real(self, m, schema, segments))
+    t.upsert_data(frame(spark, [(7777, "new")], "k long, v string"))
+    monkeypatch.undo()
+    kept, after = before[0].names(), t._newest().segments
+    gone = kept - after[0].names()
+    assert len(gone) == 1 and after[0].name == before[0].name and t.nrow(True) == 20_000
+    assert {n for s in read if s.name == before[0].name for n in s.names()} == gone
+    assert t.tbl().where("v = 'new'").first()["k"] == 7777
+    t.drop_rows_where("k between 100 and 110")
+    assert len(kept - t._newest().segments[0].names()) <= 3 and t.nrow() == 20_000 - 11 == t.nrow(True)
+    with pytest.raises(ValueError, match="duplicate key"):
+        t.insert_data(frame(spark, [(7777, "again")], "k long, v string"))
+    t.insert_data(frame(spark, [(20_001, "one")], "k long, v string"))
+    large = spark.range(0, 40_000, 2).selectExpr("id as k", "uuid() as v")  # more keys than are looked up one by one
+    t.upsert_data(large)
+    assert t.nrow(True) == t.tbl().select("k").distinct().count() == 20_000 + 10_000 - 5 + 1
+
+
+def test_what_is_validated_is_what_is_loaded(spark, store):
+    """A source that gives other rows on each reading, and is counted while it is read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def rows_of(it):
+        reads.add(1)
+        yield from it
+
+    def source():
+        return frame(spark, [("x", 1, 1.0)]).rdd.coalesce(1).mapPartitions(rows_of).toDF("a string, b long, c double").withColumn("c", F.rand())
+
+    seen = []
+
+    def validator(d):
+        seen.append(d.first()["c"])
+        return True
+
+    t = Table(store, "t", ABC, ["a"], validator_field_contents=validator)
+    t.insert_data(source())
+    assert reads.value == 1 and rows(t)[0][2] == seen[-1]
+    t.upsert_data(source())
+    assert reads.value == 2 and rows(t)[0][2] == seen[-1]
+    t.upsert_data(source(), on_duplicate="last", order_by=["c"])
+    assert reads.value == 3 and rows(t)[0][2] == seen[-1]
+    for load in (t.drop_all_rows_and_then_insert_data, t.drop_all_rows_and_then_upsert_data):
+        load(source())
+        assert rows(t)[0][2] == seen[-1]
+    plain = Table(store, "plain", ABC, ["a"])
+    plain.insert_data(source())
+    assert reads.value == 8  # a reload counts its source and copies it
+
+
+def test_a_forked_child_does_not_use_its_parents_session(spark, store):
+    store.connect()
+    handle = store.connection
+    r, w = os.pipe()
+    if (pid := os.fork()) == 0:
+        said = []
+        try:
+            said.append(str(store.is_connected()))
+            said.append(str(store.connection))
+            store.connect(attempts=1)
+            said.append("connected")
+        except ConnectionError as e:
+            said += [str(store.parked == [handle]), str("forked" in str(e.__cause__))]
+        finally:
+            os.write(w, ",".join(said).encode())
+            os._exit(0)
+    os.waitpid(pid, 0)
+    assert os.read(r, 1000).decode() == "False,None,True,True"
+    assert store.is_connected() and store.connection is handle and spark.range(3).count() == 3
+
+
+def test_tables_of_a_server(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "r"), driver="jdbc:derby:memory:keystead;create=true")
+    data = frame(spark, [("x", 1, 1.5), ("y", 2, float("inf")), (None, 3, None)])
+    s.copy_to_server(data, "tab")
+    s.copy_to_server(data.limit(1), "tab")
+    assert sorted(str(tuple(r)) for r in s.server_tbl("tab").collect()) == sorted(["('x', 1, 1.5)", "('y', 2, None)", "(None, 3, None)", "('x', 1, 1.5)"])
+    parts = s.server_tbl("tab", partition_by="b", low=1, high=4, partitions=3)
+    assert parts.rdd.getNumPartitions() == 3 and parts.where("b > 1").count() == 2
+    t = Table(s, "copy", ABC)
+    t.insert_data(s.server_tbl("tab"))
+    assert t.nrow() == 4
+    config = {"driver": "PostgreSQL Unicode", "server": "h", "db": "d", "sslmode": "require"}
+    assert jdbc.address(config) == "jdbc:postgresql://h:5432/d?sslmode=require"
+    assert jdbc.address({"driver": "ODBC Driver 17 for SQL Server", "server": "h", "port": 99, "db": "d", "trusted_connection": "yes"}) == "jdbc:sqlserver://h:99;databaseName=d;integratedSecurity=true"
+    for bad in ({"driver": "none"}, {"driver": "mysql", "server": "h"}):
+        with pytest.raises(ValueError):
+            jdbc.address(bad)
+
+
+def test_drift_is_one_commit(spark, store, abc):
+    abc.insert_data(frame(spark, [("x", 1, 1.0)]))
+    reader = abc.tbl()
+    other = Table(store, "tab", {"b": "INTEGER", "a": "TEXT", "c": "DOUBLE"}, ["a"])
+    assert other.nrow() == 0 and reader.count() == 1  # files of the version before stay for its readers
+
+
+def test_index_columns_have_three_answers(spark, store, abc, monkeypatch):
+    assert abc.get_index_columns(abc.index_physical_name("ind1")) is None
+    abc.create_table()
+    assert abc.get_index_columns(abc.index_physical_name("ind1")) == ["a", "c"] and abc.get_index_columns("nope") == []
+    abc.drop_indexes()
+    monkeypatch.setattr(Snapshots, "commit", lambda self, old, new: new)  # a commit that gets lost
+    with pytest.raises(RuntimeError, match="is not on table tab"):
+        abc.add_indexes()
+    monkeypatch.undo()
+    assert not abc._adding
+
+
+def test_both_lists_are_printed_where_columns_differ(store, abc, capsys):
+    abc.create_table()
+    assert abc.check_fields_match() and not capsys.readouterr().out
+    other = Table(store, "tab", {"b": "INTEGER", "a": "TEXT"})
+    assert not other.check_fields_match() and capsys.readouterr().out == "fields in tab: a, b, c\nfields declared: b, a\n"
 
 
 def test_indexes(spark, store, abc, monkeypatch):
