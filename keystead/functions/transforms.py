@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,20 @@ def replace_first(column: Column, plain: str, by: str) -> Column:
     return F.when(at > 0, F.concat(F.substring(column, F.lit(1), at - 1), F.lit(by), F.substring(column, at + len(plain), F.length(column)))).otherwise(column)
 
 
+def replace_first_match(column: Column, pattern: str, by: str) -> Column:
+    """The first finding of a regular expression replaced; later ones stay. $1 and so on in `by` are the
+    pattern's groups; backreferences in the pattern itself count from 2."""
+    by = re.sub(r"\$([0-9])", lambda m: f"${int(m[1]) + 1}", by)
+    # anchored at the text's beginning, so it matches once; what lies ahead of the finding is kept
+    return F.regexp_replace(column, rf"\A((?s:.*?))(?:{pattern})", f"$1{by}")
+
+
+def number_in_text(column: Column, scale: float = 1.0, digits: int | None = None) -> Column:
+    """The first number in a text, scaled and rounded; null without one."""
+    number = F.regexp_extract(column, r"-?[0-9]+(?:\.[0-9]+)?", 0).try_cast("double") * F.lit(scale)
+    return number if digits is None else F.round(number, digits)
+
+
 def sum_or_null(column: Column) -> Column:
     """The sum of a group, null if a value of it is null."""
     return F.when(F.count(column) == F.count(F.lit(1)), F.sum(column))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import transforms, validators
-from ..naming import index_physical_name
 from ..operators import dml
 from ..sources.shared import scratch
 from ..sources.staging import read_delimited, write_delimited
@@ -151,15 +150,16 @@ def table_create_on_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
 
 
-@_query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS nrow FROM {t}" for t in _ALL))
+@_query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS nrow, count(*) > 0 AS has_bytes, true AS adds_up, 0.0::DOUBLE AS size_index_gb FROM {t}" for t in _ALL))
 def table_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names and rows of all tables of a store."""
+    """Names, rows and sizes of all tables of a store."""
     store = Store(spark, scratch(spark))
     for t in _ALL:
         rows = _table(spark, sf_dir, t)
         kinds = {"string": "TEXT", "int": "INTEGER", "bigint": "INTEGER", "double": "DOUBLE", "timestamp_ntz": "DATETIME"}
         Table(store, t, {c: kinds[k] for c, k in rows.dtypes}).insert_data(rows)
-    return store.table_info().select("table_name", "nrow")
+    adds_up = F.col("size_total_gb") == F.col("size_data_gb") + F.col("size_index_gb")
+    return store.table_info().select("table_name", "nrow", (F.col("size_total_gb") > 0).alias("has_bytes"), adds_up.alias("adds_up"), "size_index_gb")
 
 
 @_query("SELECT c_custkey, c_name, c_acctbal, c_acctbal > 0 AS in_credit FROM customer")
@@ -359,7 +359,4 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers.unionByName(_table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))).select("name", "balance")
 
 
-@_query(None)
-def index_physical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Physical names of an index on every table."""
-    return spark.createDataFrame([(t, i, index_physical_name(t, i)) for t in _ALL for i in ("ind1", "by.date")], "table_name string, index_name string, physical_name string")
+from . import scenarios  # noqa: E402, F401  registers its queries
