@@ -7,7 +7,7 @@ sampled shingles differ, so candidates of a band are sifted by a few 64-bit word
 What passes is confirmed by comparing the sets themselves.
 
 Candidates come in two rounds, so that a group of many copies never becomes all of its pairs. First each
-member of a band's bucket is compared with the bucket's first member; what is linked becomes one
+member of a band's bucket is compared with the bucket's most central member; what is linked becomes one
 component. Then only the members of buckets that still hold several components are compared, across
 components; a bucket of any size is dealt out in pairs of blocks. A pair that both rounds leave out lies
 in one component already or shares no band: at a similarity of 0.8 the chance of sharing none of 32 bands
@@ -214,19 +214,22 @@ def spread_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame
     return left.join(right, [key, "_part"]).drop("_part")
 
 
-def across(open_: DataFrame, percent: int) -> DataFrame:
+def across(open_: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of members of a bucket that are in different components and that sizes and odd
-    sketches allow. open_ has key, id, root, n and the sketch. A bucket is dealt out in blocks, and each
-    pair of blocks is a group of its own."""
+    sketches allow, each in the first band that it shares. open_ has key, band, id and root, brief each
+    id's n, bands and sketch. A bucket is dealt out in blocks, and each pair of blocks is a group of its
+    own; groups aren't merged into fewer tasks, as they hold few bytes for the work that they make."""
     sizes = open_.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("m")).where("r <> s")
     sizes = sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
-    rest = spread_join(open_, sizes, "key", "id").withColumn("at", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
-    zero = F.lit(0).cast("long")
-    x = rest.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence(F.col("at"), F.col("blocks") - 1))).alias("x")
-    y = rest.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(zero, F.col("at")))).alias("y")
+    rest = spread_join(open_, sizes, "key", "id").join(brief, "id").withColumn("at", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+    rest = materialise(rest.withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands", "band"), "open")
+    zero, parts = F.lit(0).cast("long"), int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = rest.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence(F.col("at"), F.col("blocks") - 1))).repartition(parts, "key", "i", "j").alias("x")
+    y = rest.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(zero, F.col("at")))).repartition(parts, "key", "i", "j").alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     once = (F.col("x.i") < F.col("x.j")) | (F.col("x.id") < F.col("y.id"))
-    both = x.join(y, same & once & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent))
+    fresh = ~F.exists(F.arrays_zip(F.col("x.before").alias("l"), F.col("y.before").alias("r")), lambda z: z["l"] == z["r"])
+    both = x.join(y, same & once & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent) & fresh)
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -240,9 +243,13 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sketch = [F.first(c).alias(c) for c in ("bands", *ODD)]
     sets = live.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "t")).alias("row"), F.count(F.lit(1)).alias("copies"), *sketch)
     sets = materialise(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
-    keyed = sets.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
+    keyed = sets.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = materialise(spread_join(keyed, buckets, "key", "id"), "members")
+    # a bucket's first member is the one whose buckets hold most members: the text that copies were made of
+    # shares more bands with each of them than they do with one another
+    central = members.groupBy("id").agg(F.sum("m").alias("score"))
+    firsts = members.join(central, "id").groupBy("key").agg(F.max(F.struct("score", "id")).getField("id").alias("first"))
     brief = sets.select("id", "n", *ODD)
 
     def sift(pairs: DataFrame) -> DataFrame:
@@ -250,14 +257,16 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         both = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
         return both.where(_may_link("x", "y", percent)).select("a", "b").distinct()
 
-    one = materialise(sift(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()), "pairs")
+    starred = spread_join(members, firsts, "key", "id").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    one = materialise(sift(starred.distinct()), "pairs")
     wanted = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "row.doc_id", "row.t")
     texts = materialise(named(docs).join(wanted, ["doc_id", "t"]).groupBy("id").agg(F.first("text").alias("text")), "texts")
     links = materialise(confirm(one, texts, words, percent), "links")
     roots = components(links)
     # buckets that hold several components still
-    open_ = members.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).join(brief, "id")
-    two = across(open_, percent).join(one, ["a", "b"], "left_anti")
+    open_ = members.select("key", "band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    done = one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    two = across(open_, sets.select("id", "n", "bands", *ODD), percent).join(done, ["a", "b"], "left_anti")
     more = materialise(confirm(materialise(two, "pairs"), texts, words, percent), "links")
     if not more.isEmpty():
         joined = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
