@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FOLDED, free_names, materialise, mix, row_sums, span_hashes, text_parts, word_spans
@@ -36,7 +36,7 @@ LEAST, BITS, DEVIATIONS = 1024, 1024, 5.5
 ODD = [f"o{j}" for j in range(BITS // 64)]
 #: Pairs of one first member that are confirmed by one group, members in a block of a bucket, and the parts
 #: over which the rows of one band key are spread where they meet the key's own row.
-CHUNK, BLOCK, SPREAD = 256, 2048, 16
+CHUNK, BLOCK, SPREAD = 256, 512, 16
 _PART = 2 << 20
 _random = np.random.default_rng(1)
 _A = _random.integers(0, 1 << 64, SAMPLES, np.uint64) | np.uint64(1)
@@ -245,11 +245,11 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sets = materialise(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     keyed = sets.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialise(spread_join(keyed, buckets, "key", "id"), "members")
     # a bucket's first member is the one whose buckets hold most members: the text that copies were made of
     # shares more bands with each of them than they do with one another
-    central = members.groupBy("id").agg(F.sum("m").alias("score"))
-    firsts = members.join(central, "id").groupBy("key").agg(F.max(F.struct("score", "id")).getField("id").alias("first"))
+    score = F.sum("m").over(Window.partitionBy("id"))  # as many rows as bands
+    members = materialise(spread_join(keyed, buckets, "key", "id").withColumn("score", score).drop("m"), "members")
+    firsts = members.groupBy("key").agg(F.max(F.struct("score", "id")).getField("id").alias("first"))
     brief = sets.select("id", "n", *ODD)
 
     def sift(pairs: DataFrame) -> DataFrame:
@@ -267,7 +267,8 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     open_ = members.select("key", "band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     done = one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     two = across(open_, sets.select("id", "n", "bands", *ODD), percent).join(done, ["a", "b"], "left_anti")
-    more = materialise(confirm(materialise(two, "pairs"), texts, words, percent), "links")
+    two = materialise(two, "pairs")
+    more = links.limit(0) if two.isEmpty() else materialise(confirm(two, texts, words, percent), "links")
     if not more.isEmpty():
         joined = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         merged = components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))

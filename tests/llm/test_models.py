@@ -330,6 +330,19 @@ def test_pieces_round_trip(spark):
     assert packing.split(2048 * 2 + 7) == [2048, 2048, 4, 2, 1] and packing.split(0) == []
 
 
+def test_buckets_are_written_apart(spark, tmp_path):
+    rng = random.Random(4)
+    docs = frame(spark, [(i, prose(rng, n), None, None) for i, n in enumerate([3, 70, 400, 400])])
+    pieces = packing.pack(docs, JSON, RANKS, 64)
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    key = lambda r: (r["doc_id"], r["start"], bytes(r["ids"]))
+    assert sorted(map(key, back.collect())) == sorted(map(key, pieces.collect()))
+    for folder in (tmp_path / "b").glob("bucket=*"):
+        n = 2 ** int(folder.name.split("=")[1])
+        assert {r["length"] for r in spark.read.parquet(str(folder)).collect()} == {n} and n <= 64
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head>
 <body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li>Menu</li></ul></nav><!-- <p>hidden</p> --><div class="ad-slot">Buy</div>
 <article><header><h1>The&nbsp;Title</h1></header><p>One <b>two</b>&amp;three &lt;x&gt; &#233;&#x20AC;<br>four</p><aside>Side</aside><form>Name <input></form>
