@@ -372,7 +372,7 @@ def test_article_text_that_looks_like_boilerplate_stays():
     assert htmltext.blocks("<main><p>intro</p><article>teaser</article><p>body</p></main>")[0] == ["intro", "teaser", "body"]
     assert htmltext.blocks("<main><p>by</p><article>the story</article><p>x</p></main>")[0] == ["the story"]
     # marks still go
-    for mark in ('div class="cookie-notice"', 'div class="ad-slot-3"', 'div class="share buttons"', 'div id="comments"', 'section id="comments"', 'section class="comments"', 'div id="notice"', 'p class=ad', 'ul class="related-posts"', "div class='newsletter_signup-box'", "div role=alert", "div hidden"):
+    for mark in ('div class="cookie-notice"', 'div class="ad-slot-3"', 'div class="share buttons"', 'div id="comments"', 'section id="comments"', 'section class="comments"', 'div id="notice"', 'p class=ad', 'ul class="related-posts"', "div class='newsletter_signup-box'", 'div class="article-ad"', 'div class="wp-block-comments"', 'ins class=adsbygoogle', "div role=alert", "div hidden"):
         assert inside(f"<p>one</p><{mark}><i>gone</i></{mark.split()[0]}><p>two</p>") == ["one", "two"], mark
     assert htmltext.blocks('<body class="has-sidebar"><div class="main-content"><p>one</p></div></body>')[1] == ["one"]
 
