@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import signal
 
 import pandas as pd
 import pytest
@@ -374,6 +375,7 @@ def test_a_forked_child_does_not_use_its_parents_session(spark, store):
     r, w = os.pipe()
     if (pid := os.fork()) == 0:
         said = []
+        signal.alarm(60)  # a child that hangs ends
         try:
             said.append(str(store.is_connected()))
             said.append(str(store.connection))
