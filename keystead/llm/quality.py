@@ -19,6 +19,8 @@ from .common import WORD_PATTERN, let, materialise, words_of
 
 #: At most this share of a stratum's good documents is rejected (over all rules), with probability 1 - DELTA.
 ALPHA, DELTA = 0.02, 0.05
+#: Ids that are broadcast at most (8 bytes each).
+MOST_BROADCAST = 1_000_000
 #: Documents with fewer words, or with more than this percentage of repeated words, fail the base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The rules: a figure of a document, bad where it is above the cutoff, and the cutoffs from strict to lax.
@@ -199,6 +201,8 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label are measured for the cutoffs, then all for their verdict, whose texts aren't written or shuffled."""
     slim = docs.select("doc_id", "text", stratum_of(F.col("lang")).alias("stratum"))
     good = materialise(good_ids(labels), "good")
+    # up to MOST_BROADCAST ids are broadcast; with more, documents and ids meet by hash
+    good = F.broadcast(good) if good.count() <= MOST_BROADCAST else good
     cuts = thresholds(measure(slim.join(good, "doc_id", "left_semi")).drop("text"), labels)
     prefix = "quality_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
