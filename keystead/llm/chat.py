@@ -46,8 +46,9 @@ def _head(role: Column, perspective: Column, passive: tuple[str, ...]) -> Column
     return F.concat(F.lit(OPEN), name, F.lit("\n"))
 
 
-def _numbered(rows: DataFrame, part_turns: int) -> DataFrame:
-    """rows with place, which orders the turns of a conversation, and part.
+def _numbered(rows: DataFrame, part_turns: int) -> tuple[DataFrame, DataFrame]:
+    """rows with place, which orders the turns of a conversation, and part; and the number of parts of each
+    conversation.
 
     Rows are dealt out by range of their order, so that a dialogue of any size, and turns with one number
     or none, spread over tasks; a turn's rank is its place in its range and the dialogue's turns in the
@@ -58,9 +59,10 @@ def _numbered(rows: DataFrame, part_turns: int) -> DataFrame:
     held = held.withColumn("range", F.shiftright("place", 33))
     edges = held.groupBy("conv_id", "range").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = edges.groupBy("conv_id").agg(F.ceil(F.sum("n") / part_turns).cast("long").alias("parts"))
     edges = edges.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     rank = F.col("place") - F.col("first") + F.col("ahead")
-    return held.join(edges, ["conv_id", "range"]).select("conv_id", F.floor(rank / part_turns).cast("long").alias("part"), "place", "role", "text")
+    return held.join(edges, ["conv_id", "range"]).select("conv_id", F.floor(rank / part_turns).cast("long").alias("part"), "place", "role", "text"), parts
 
 
 def rotate(turns: DataFrame, passive: tuple[str, ...] = PASSIVE, part_turns: int | None = None) -> DataFrame:
@@ -74,20 +76,17 @@ def rotate(turns: DataFrame, passive: tuple[str, ...] = PASSIVE, part_turns: int
     dialogue; a dialogue with passive roles only has no perspective. Texts of any length are rendered
     whole. Other columns are ignored."""
     rows = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    speakers = rows.where(F.col("role").isNotNull() & ~(F.col("role").isin(*passive) if passive else F.lit(False)))
+    speakers = speakers.select("conv_id", F.col("role").alias("perspective")).distinct()
     if part_turns is None:
         numbered = rows.select("conv_id", F.lit(0).cast("long").alias("part"), F.struct(F.col("turn").isNull().alias("last"), "turn").alias("place"), "role", "text")
+        views = speakers.withColumn("part", F.lit(0).cast("long"))
     else:
-        numbered = _numbered(rows, part_turns)
-    parts = numbered.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
-    if part_turns is not None:
-        parts = materialise(parts, "parts")
-    speakers = rows.where(F.col("role").isNotNull() & ~(F.col("role").isin(*passive) if passive else F.lit(False)))
-    speakers = speakers.select("conv_id", F.col("role").alias("perspective")).distinct()
+        numbered, parts = _numbered(rows, part_turns)
+        views = speakers.join(parts, "conv_id").select("conv_id", "perspective", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     # perspectives meet the numbers of the parts, then each part its texts: one dialogue isn't one task's
-    both = parts if part_turns is None else parts.select("conv_id", "part")
-    both = both.join(speakers, "conv_id")
-    if part_turns is not None:
-        both = both.join(parts, ["conv_id", "part"])
+    texts = numbered.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+    both = texts.join(views, ["conv_id", "part"])
     me = F.col("perspective")
 
     def segment(t: Column) -> Column:
