@@ -5,8 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import os
 import signal
+import subprocess
+import sys
+from pathlib import Path
 
 import pandas as pd
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,7 @@ from keystead.sources.store import Store, get_auth_hook, get_table_names_and_inf
 from keystead.streaming.sink import stream_into
 from keystead.table import Table
 
+ROOT = str(Path(__file__).resolve().parents[1])
 ABC = {"a": "TEXT", "b": "INTEGER", "c": "DOUBLE"}
 
 
@@ -391,6 +396,56 @@ def test_a_forked_child_does_not_use_its_parents_session(spark, store):
     assert store.is_connected() and store.connection is handle and spark.range(3).count() == 3
 
 
+def test_an_embedded_database_on_a_cluster(tmp_path):
+    """Executors are processes of their own, which can't reach a database inside of the driver."""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+import __spark_entry__
+conf = {{"spark.master": "local-cluster[2,1,1024]", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+rows = __spark_entry__.queries()["server_round_trip"](spark, "/root/testdata/sf0.001")
+print("found", rows.count(), rows.where("c_custkey <= 10").count(), rows.where("c_acctbal is null").count() > 0)
+spark.stop()
+"""
+    env = os.environ | {"PYTHONPATH": ROOT, "SPARK_HOME": str(home), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "PYSPARK_PYTHON": sys.executable}
+    for k in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(k, None)
+    ran = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "found 139 0 True" in ran.stdout, ran.stderr[-3000:]
+
+
+def test_rows_of_an_embedded_database_through_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jdbc, "_out_of_reach", lambda spark, config: True)
+    monkeypatch.setattr(jdbc, "PART", 2)
+    s = Store(spark, str(tmp_path / "r"), driver="jdbc:derby:memory:through;create=true")
+    data = frame(spark, [("x", 1, 1.5), ("y", 2, float("inf")), (None, 3, None)])
+    shown = lambda: sorted(str(tuple(r)) for r in s.server_tbl("tab").collect())
+    want = ["('x', 1, 1.5)", "('y', 2, None)", "(None, 3, None)"]
+    s.copy_to_server(data, "tab")
+    assert shown() == want
+    s.copy_to_server(data, "tab", mode="ignore")
+    assert shown() == want
+    with pytest.raises(Exception, match="already exists"):
+        s.copy_to_server(data, "tab", mode="error")
+    s.copy_to_server(data.limit(1), "tab")
+    assert shown() == sorted([*want, "('x', 1, 1.5)"])
+    assert s.server_tbl("(SELECT * FROM tab WHERE \"b\" > 3) x").count() == 0
+    s.copy_to_server(data.where("b = 2"), "tab", mode="overwrite")
+    assert shown() == ["('y', 2, None)"]
+
+
+def test_embedded_databases_by_address():
+    assert all(jdbc.EMBEDDED.match(x) for x in ("jdbc:derby:memory:a", "jdbc:derby:/a/b;create=true", "jdbc:sqlite:a.db", "jdbc:h2:mem:a", "jdbc:hsqldb:file:a"))
+    assert not any(jdbc.EMBEDDED.match(x) for x in ("jdbc:derby://h:1527/a", "jdbc:h2:tcp://h/a", "jdbc:hsqldb:hsql://h/a", "jdbc:postgresql://h/a"))
+
+
 def test_tables_of_a_server(spark, tmp_path):
     s = Store(spark, str(tmp_path / "r"), driver="jdbc:derby:memory:keystead;create=true")
     data = frame(spark, [("x", 1, 1.5), ("y", 2, float("inf")), (None, 3, None)])
