@@ -450,3 +450,18 @@ def test_pages_lose_what_their_neighbour_shares(spark):
     assert got[7].startswith("The Title") and got[9] == "" and got[None] == ""
     again = {r["page_id"]: r["text"] for r in htmltext.extract(df.repartition(5)).collect()}
     assert again == got and htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_differencing_runs_on_marked_pages_and_the_mark_checks_it(spark):
+    page = lambda *own: f"<body><div>Site</div><article>{''.join(f'<p>{x}</p>' for x in own)}</article><div>Legal</div></body>"
+    rows = [(1, "http://h/a/1", page("one", "two", "three")), (2, "http://h/a/2", page("one", "two", "four")), (3, "http://h/b", page("five")), (4, "http://k/a", page("one")), (5, None, page("one")), (6, "http://h/a/2", page("one", "two", "four"))]
+    got = {r["page_id"]: tuple(r)[2:] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    copy = ("one\ntwo\nfour", 4, 2)  # Site, one, two and Legal are shared; the mark restores two of them
+    assert got == {1: ("one\ntwo\nthree", 4, 2), 2: copy, 6: copy, 3: ("five", 2, 0), 4: ("one", 0, 0), 5: ("one", 0, 0)}
+
+
+def test_the_verdict_of_differencing_decides_without_a_mark():
+    assert htmltext.settle("<div>a</div><div>b</div><div>c</div>", [0, 2]) == ("b", 0)
+    assert htmltext.settle("<div>a</div><main>b<p>c</main>", [0, 2]) == ("b\nc", 1)
+    assert htmltext.settle("", []) == ("", 0)
+    assert htmltext.unshared(["a", "b"], ["a", "b", "c"]) == [] and htmltext.unshared(["a", "x"], ["a", "b"]) == [0]
